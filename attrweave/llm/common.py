@@ -90,18 +90,27 @@ class WordIds:
     def __init__(self, most: int = 400_000) -> None:
         from xxhash import xxh3_64_intdigest
 
-        self.digest, self.most, self.ids, self.hashes = xxh3_64_intdigest, most, {}, []
+        self.digest, self.most, self.ids = xxh3_64_intdigest, most, {}
+        self.hashes = np.empty(0, dtype=np.uint64)
 
-    def of(self, words: list[str]) -> np.ndarray:
-        """The 64-bit hash of each plain word."""
-        ids, hashes = self.ids, self.hashes
+    def number(self, words: list[str]) -> np.ndarray:
+        """The number of each word; self.hashes has the 64-bit hash of its plain form by number, until the next call."""
+        ids = self.ids
         if len(ids) > self.most:
             ids.clear()
-            hashes.clear()
+            self.hashes = np.empty(0, dtype=np.uint64)
+        fresh = []
         for word in set(words).difference(ids):
-            ids[word] = len(hashes)
-            hashes.append(self.digest(plain(word)))
-        return np.array(hashes, dtype=np.uint64)[np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))]
+            ids[word] = len(ids)
+            fresh.append(self.digest(plain(word)))
+        if fresh:
+            self.hashes = np.concatenate([self.hashes, np.array(fresh, dtype=np.uint64)])
+        return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The 64-bit hash of each plain word."""
+        at = self.number(words)
+        return self.hashes[at]
 
 
 def components(edges: DataFrame) -> DataFrame:
