@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attrweave.llm import langid
+from attrweave.llm import bpe, langid, mixing, simhash, suffix
 from attrweave.llm.common import shared_dir
 
 
@@ -15,7 +15,33 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return langid.filter_languages(docs)
 
 
-STAGES = [("language_id", language_stage)]
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.drop_copies(docs)
+
+
+def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each repeated passage the first occurrence."""
+    return suffix.remove_repeats(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many documents as came, all sources alike in number; a document may come more than once."""
+    return mixing.mix(docs).drop("copy")
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document."""
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("simhash_near_dedup", near_copy_stage),
+    ("suffix_array_dedup", repeat_stage),
+    ("mixing", mixing_stage),
+    ("bpe", token_stage),
+]
 
 #: The stages aren't expressible in SQL as a whole; tests hold them against brute force.
 ORACLE_SQL = None
