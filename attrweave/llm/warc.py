@@ -75,14 +75,12 @@ def _name(record: Column, url: Column, digest: Column) -> Column:
 
 def with_headers(records: DataFrame, date: str = DATE) -> DataFrame:
     """The verdicts of resolve(), with header (the fresh WARC header block) and payload (null for a revisit)."""
-    verdicts = resolve(records)
-    one = records.filter("payload is not null").select(*[F.col(c).alias(f"p_{c}") for c in _KEY], "payload")
-    same = F.lit(True)
-    for c in _KEY:
-        same &= F.col(c).eqNullSafe(F.col(f"p_{c}"))
-    # Revisits go past the join: only originals meet their payload.
-    found = verdicts.filter("warc_type = 'response'").join(one, same).drop(*[f"p_{c}" for c in _KEY]).dropDuplicates(_KEY)
-    joined = found.unionByName(verdicts.filter("warc_type = 'revisit'").withColumn("payload", F.lit(None).cast("binary")))
+    # The record's key as one column without nulls, so that the join and the removal of repeats share one exchange.
+    rid = F.unhex(F.md5(F.to_json(F.struct(*_KEY))))
+    verdicts = resolve(records).withColumn("rid", rid)
+    one = records.filter("payload is not null").select(rid.alias("rid"), "payload")
+    joined = verdicts.join(one, "rid", "left").dropDuplicates(["rid"]).drop("rid")
+    joined = joined.withColumn("payload", F.when(F.col("warc_type") == "response", F.col("payload")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     length = F.coalesce(F.octet_length("payload"), F.lit(0))
     head = F.concat(
@@ -101,7 +99,7 @@ def with_headers(records: DataFrame, date: str = DATE) -> DataFrame:
     return joined.withColumn("content_length", length.cast("long")).withColumn("header", head)
 
 
-def write_archives(records: DataFrame, folder: str | None = None, date: str = DATE, level: int = 1) -> DataFrame:
+def write_archives(records: DataFrame, folder: str | None = None, date: str = DATE, level: int = 6) -> DataFrame:
     """Writes the deduplicated archives when it is run; the index of the records: what with_headers() has but the payload,
     and file, offset and length of the record's gzip member."""
     base = folder or f"{shared_dir(records.sparkSession)}/warc-{uuid.uuid4().hex}"
