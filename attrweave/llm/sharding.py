@@ -77,7 +77,7 @@ def splitters(sizes: DataFrame, shard_bytes: int = SHARD_BYTES, tolerance: float
     while intervals:
         asked = {k: candidates(v[0], v[1] - 1, probes) for k, v in intervals.items()}
         keys = np.array(sorted({p for own in asked.values() for p in own}), dtype=np.int64)
-        below = dict(zip(keys.tolist(), _below(sizes, keys - 1).tolist())) if len(keys) else {}
+        below = dict(zip(keys.tolist(), _below(sizes, keys).tolist())) if len(keys) else {}
         for k, own in asked.items():
             interval, target = intervals[k], targets[k]
             for p in own:
