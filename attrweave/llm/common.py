@@ -92,6 +92,7 @@ class WordIds:
 
         self.digest, self.most, self.ids = xxh3_64_intdigest, most, {}
         self.hashes = np.empty(0, dtype=np.uint64)
+        self.starts = 0  # how often it has started anew
 
     def number(self, words: list[str]) -> np.ndarray:
         """The number of each word; self.hashes has the 64-bit hash of its plain form by number, until the next call."""
@@ -99,6 +100,7 @@ class WordIds:
         if len(ids) > self.most:
             ids.clear()
             self.hashes = np.empty(0, dtype=np.uint64)
+            self.starts += 1
         fresh = []
         for word in set(words).difference(ids):
             ids[word] = len(ids)
