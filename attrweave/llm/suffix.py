@@ -13,6 +13,9 @@ A suffix is what follows a word; only its first DEPTH plain words count. The ord
 Each repeated window but its first occurrence, in order of doc_id and position, is a copy. Neighbouring windows join to
 spans of words.
 
+Where copies overlap their own first occurrence, as in periodic text, each word that goes has an equal one before it that
+stays: one period is left.
+
 Edge cases: a null or empty text, or one of less than DEPTH words, has no window; documents are told apart by doc_id and
 text, so fully repeated rows count as one document, and different texts under one doc_id as two; a null doc_id counts
 as an id below all others; a passage that repeats inside one document is found as well; an empty table gives an empty
