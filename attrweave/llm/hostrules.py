@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attrweave.llm.common import text_of
+from attrweave.llm.common import text_of, written
 
 #: Rules, each a part of the characters, lines or words that is too much (or, in words, too little).
 LEAST_WORDS, MOST_SIGNS, MOST_UPPER, MOST_DIGITS, MOST_REPEATED = 3, 0.15, 0.5, 0.3, 0.6
@@ -74,6 +74,7 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
     plain = text_of(docs, text)
     whose = F.when(F.col(host).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(host).cast("string")))
     judged = docs.select(F.col(key), whose.alias("host"), *[v.cast("int").alias(f"fail_{r}") for r, v in failures(plain).items()])
+    judged = written(judged, "host-rules")  # the texts are read once, not for each of the figures
     rates = host_rates(judged, strength, worst).select("host", "worst_rate", "bad")
     joined = judged.join(rates, "host")
     count = sum(F.col(f"fail_{r}") for r in RULES)
