@@ -66,3 +66,17 @@ def test_planted_cases(spark):
     joined = " ".join(passage)
     assert sorted(r.doc_id for r in once.collect() if joined in (r.text or "")) == [200]
     assert {r.doc_id: r.text for r in once.collect() if r.doc_id < 30} == {k: " ".join(b) for k, b in enumerate(base)}
+
+
+def test_stages_on_hard_rows_and_none(spark):
+    from tests.llm.cases import hard
+
+    rows = hard("the long words of a text that goes on and on " * 4_000) + [(k, "the words of the text that it is made of, and more of them " * 3, "en", "s3") for k in range(10, 14)]
+    for table in (docs(spark, rows, extra=True), docs(spark, []), docs(spark, [], extra=True)):
+        left = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, "")
+            assert left.columns == table.columns
+            left.count()
+        tokens = corpus_pipeline.STAGES[-1][1](spark, left, "").collect()
+        assert all(r.round_trip for r in tokens)
