@@ -38,26 +38,28 @@ def specs(spark: SparkSession, folder: str, category: str = "*", site: str = "*"
 
 def linkage(spark: SparkSession, folder: str, category: str = "*", suffix: str = "", check: bool = True) -> DataFrame:
     """Rows (pid, site, category, url) of <folder>/<site>/<category>_linkage<suffix>.json; a pid twice in a file is an error."""
-    raw = spark.read.option("wholetext", True).text(f"{folder}/*/{category}_linkage{suffix}.json").select(_site(_path()).alias("site"), _category(_path(), f"_linkage{suffix}").alias("category"), "value")
+    raw = spark.read.text(f"{folder}/*/{category}_linkage{suffix}.json", wholetext=True).select(_site(_path()).alias("site"), _category(_path(), f"_linkage{suffix}").alias("category"), "value")
     if check:
         keys = F.json_object_keys("value")
         twice = raw.filter(F.size(keys) > F.size(F.array_distinct(keys))).select("site").limit(1).collect()
         if twice:
             raise ValueError(f"a pid occurs twice in the linkage of {twice[0][0]}")
     rows = raw.select("site", "category", F.explode(F.from_json("value", "map<string,array<string>>")).alias("pid", "urls"))
-    return rows.select("pid", "site", "category", T.normalize_url(F.explode("urls")).alias("url")).distinct()
+    each = rows.select("pid", "site", "category", F.explode("urls").alias("url"))
+    return each.select("pid", "site", "category", T.normalize_url(F.col("url")).alias("url")).distinct()
 
 
 def global_linkage(spark: SparkSession, path: str) -> DataFrame:
     """Rows (pid, category, url) of one file {pid: {category: [url]}}."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,map<string,array<string>>>").alias("m"))
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,array<string>>>").alias("m"))
     one = raw.select(F.explode("m").alias("pid", "by")).select("pid", F.explode("by").alias("category", "urls"))
-    return one.select("pid", "category", T.normalize_url(F.explode("urls")).alias("url")).distinct()
+    each = one.select("pid", "category", F.explode("urls").alias("url"))
+    return each.select("pid", "category", T.normalize_url(F.col("url")).alias("url")).distinct()
 
 
 def source_order(spark: SparkSession, path: str) -> DataFrame:
     """Rows (place, site, category) of lines site__category, the most linked first."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("place", "line")).filter("trim(line) <> ''")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("place", "line")).filter("trim(line) <> ''")
     return lines.select("place", F.split_part("line", F.lit("__"), F.lit(1)).alias("site"), F.split_part("line", F.lit("__"), F.lit(2)).alias("category"))
 
 
@@ -92,7 +94,7 @@ def heterogeneous(truth: DataFrame) -> DataFrame:
 def ikgpp(spark: SparkSession, path: str) -> DataFrame:
     """Rows (pid, target, site, url, name, value) of an instance-level graph {pid: {target: ["site#-#url/name=value"]}}; the
     older form is site/name=value."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,map<string,array<string>>>").alias("m"))
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,array<string>>>").alias("m"))
     rows = raw.select(F.explode("m").alias("pid", "by")).select("pid", F.explode("by").alias("target", "all")).select("pid", "target", F.explode("all").alias("p"))
     place = F.split_part("p", F.lit("="), F.lit(1))
     site = F.when(place.contains(T.SEPARATOR), F.substring_index(place, T.SEPARATOR, 1)).otherwise(F.substring_index(place, "/", 1))

@@ -53,7 +53,7 @@ def test_readers(spark, data):
 def test_runs_find_the_attributes(data):
     claims, links, _ = data
     want = {frozenset(f"tv//{s}//{n}" for s, n in zip(("a.com", "b.com", "c.com", "d.com"), names)) for names in (("color", "colour", "color", "paint"), ("screen size", "display size", "size", "diagonal"))}
-    for mode in ("classic", "tag-p--5", "tag-n0--5"):
+    for mode in ("classic", "tag-p--5"):
         state = pipelines.run(mode, claims, links, config.Options(common_attributes=100))
         groups = {}
         for r in state.clusters.collect():
