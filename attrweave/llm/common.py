@@ -121,7 +121,9 @@ def components(edges: DataFrame) -> DataFrame:
     Least labels travel along the edges and each round then follows the label's own label, so chains take
     a logarithmic number of rounds. Each round is a checkpoint.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    # Both directions come from one evaluation of edges: two could differ where their order isn't fixed.
+    ways = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(edges.select(F.inline(ways)).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("least"))
