@@ -27,7 +27,9 @@ def components(edges: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
     Least labels spread to neighbours and each round also follows the label's own label, so that long chains take few
     rounds.
     """
-    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).filter("x is not null and y is not null").distinct())
+    # Both directions come from one evaluation of edges: two could differ where their order isn't fixed.
+    ways = F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))
+    both = cut(edges.select(F.inline(ways)).filter("x is not null and y is not null").distinct())
     labels = cut(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("root")))
     while True:
         near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("root").alias("m"))
