@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attrweave.functions import text as T
 from attrweave.functions.numbers import safe_divide
 from attrweave.operators.claims import SA, head_tail
 
@@ -74,7 +75,10 @@ def homogeneity(claims: DataFrame) -> DataFrame:
 
 
 def copies(claims: DataFrame, most_pages: int = 8, least_shared: int = 3, ratio: float = 0.5) -> DataFrame:
-    """Page pairs that share `least_shared` claims which few pages have, and more than `ratio` of the lesser page's."""
+    """Page pairs that share `least_shared` claims which few pages have, and more than `ratio` of the lesser page's.
+
+    Only claims on fewer than `most_pages` pages count, for the ratio too; page_copies() compares whole pages.
+    """
     rows = claims.select("category", "site", "url", "name", "value").distinct()
     rare = rows.groupBy("category", "name", "value").agg(F.count("*").alias("n")).filter((F.col("n") < most_pages) & (F.col("n") > 1)).select("category", "name", "value")
     held = rows.join(rare, ["category", "name", "value"])
@@ -86,6 +90,33 @@ def copies(claims: DataFrame, most_pages: int = 8, least_shared: int = 3, ratio:
     return met.withColumn("ratio", F.round(F.col("shared") / F.least("n1", "n2"), 6)).filter(F.col("ratio") > ratio).select("category", "p1", "p2", "shared", "ratio")
 
 
+def page_copies(claims: DataFrame, least_shared: int = 3, ratio: float = 0.9) -> DataFrame:
+    """Page pairs of a category with `least_shared` claims in common, which are more than `ratio` of the larger page's.
+
+    All claims but page titles count, with folded values, however many pages have them. Pages of equal claims are one set.
+    Different sets meet by their rarest claims: of n claims as many as leave too few for a pair when none of them is shared.
+    """
+    claim = F.concat_ws("\u0001", "name", T.fold(F.col("value")))
+    pages = claims.filter("name <> '<page title>'").groupBy("category", "site", "url").agg(F.array_sort(F.collect_set(claim)).alias("claims")).withColumn("set", F.sha2(F.array_join("claims", "\u0002"), 256))
+    sets = pages.select("category", "set", "claims").distinct().withColumn("n", F.size("claims")).filter(F.col("n") >= least_shared)
+    needed = F.greatest(F.lit(least_shared), F.floor(F.col("n") * ratio - 1e-9) + 1)
+    # A set that isn't larger than the ratio of one more claim has no partner but its equals.
+    held = sets.filter(F.col("n") / (F.col("n") + 1) > ratio).select("category", "set", "n", needed.alias("needed"), F.explode("claims").alias("claim"))
+    often = held.groupBy("category", "claim").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("category", "set").orderBy("often", "claim"))
+    first = held.join(often, ["category", "claim"]).withColumn("k", rank).filter("k <= n - needed + 1").select("category", "claim", "set", "n")
+    a, b = first.withColumnsRenamed({"set": "s1", "n": "n1"}), first.withColumnsRenamed({"set": "s2", "n": "n2"})
+    met = a.join(b, ["category", "claim"]).filter((F.col("s1") < F.col("s2")) & (F.least("n1", "n2") / F.greatest("n1", "n2") > ratio)).select("category", "s1", "s2").distinct()
+    one, two = sets.select("category", F.col("set").alias("s1"), F.col("claims").alias("c1")), sets.select("category", F.col("set").alias("s2"), F.col("claims").alias("c2"))
+    both = met.join(one, ["category", "s1"]).join(two, ["category", "s2"]).withColumn("shared", F.size(F.array_intersect("c1", "c2"))).withColumn("ratio", F.col("shared") / F.greatest(F.size("c1"), F.size("c2")))
+    alike = both.select("category", "s1", "s2", "shared", "ratio").unionByName(sets.select("category", F.col("set").alias("s1"), F.col("set").alias("s2"), F.col("n").alias("shared"), F.lit(1.0).alias("ratio")))
+    alike = alike.filter((F.col("shared") >= least_shared) & (F.col("ratio") > ratio))
+    p, q = pages.select("category", F.col("set").alias("s1"), F.struct("site", "url").alias("p")), pages.select("category", F.col("set").alias("s2"), F.struct("site", "url").alias("q"))
+    pairs = alike.join(p, ["category", "s1"]).join(q, ["category", "s2"]).filter("s1 <> s2 or p < q")
+    x, y = F.least("p", "q"), F.greatest("p", "q")
+    return pairs.select("category", x["site"].alias("site1"), x["url"].alias("url1"), y["site"].alias("site2"), y["url"].alias("url2"), "shared", F.round("ratio", 6).alias("ratio"))
+
+
 def potential_linkages(claims: DataFrame, most_pages: int = 100, least: float = 0.1) -> DataFrame:
     """Page pairs of different sources whose shared values sum to more than `least`, each worth 1 / pages."""
     rows = claims.select("category", "site", "url", "value").distinct()

@@ -456,6 +456,15 @@ def copied_pages(spark: SparkSession, sf: str) -> DataFrame:
     return A.copies(_parts(spark, sf), most_pages=90, least_shared=2, ratio=0.3)
 
 
+@query(f"""
+WITH h AS (SELECT DISTINCT category, site, url, name, lower(array_to_string(regexp_extract_all(value, '[0-9]+[.,]?[0-9]*|[a-zA-Z]+'), ' ')) AS value FROM ({_PARTS})), n AS (SELECT category, site, url, count(*) AS n FROM h GROUP BY ALL),
+s AS (SELECT a.category, a.site AS site1, a.url AS url1, b.site AS site2, b.url AS url2, count(*) AS shared FROM h a JOIN h b USING (category, name, value) WHERE (a.site, a.url) < (b.site, b.url) GROUP BY ALL HAVING count(*) >= 3)
+SELECT s.*, round(shared / greatest(x.n, y.n), 6) AS ratio FROM s JOIN n x ON x.category = s.category AND x.site = site1 AND x.url = url1 JOIN n y ON y.category = s.category AND y.site = site2 AND y.url = url2 WHERE shared / greatest(x.n, y.n) > 0.9
+""")
+def page_copies(spark: SparkSession, sf: str) -> DataFrame:
+    return A.page_copies(_parts(spark, sf))
+
+
 @query(f"""
 WITH c AS (SELECT DISTINCT category, site, url, value FROM ({_PARTS})), w AS (SELECT category, value, count(*) AS n FROM c GROUP BY ALL HAVING count(*) BETWEEN 2 AND 60)
 SELECT category, a.site AS site1, a.url AS url1, b.site AS site2, b.url AS url2, round(sum(1 / n), 6) AS score
