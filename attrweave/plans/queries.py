@@ -474,6 +474,21 @@ def potential_linkages(spark: SparkSession, sf: str) -> DataFrame:
     return A.potential_linkages(_parts(spark, sf), most_pages=60, least=0.03)
 
 
+_KEYED = "SELECT 'k' AS category, 'customer' AS site, CAST(c_custkey AS VARCHAR) AS url, unnest([CAST(c_custkey AS VARCHAR), c_mktsegment]) AS value FROM customer UNION ALL SELECT 'k', 'orders', CAST(o_orderkey AS VARCHAR), unnest([CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority]) FROM orders"
+
+
+@query(f"""
+WITH c AS (SELECT DISTINCT category, site, url, value FROM ({_KEYED}) WHERE value IS NOT NULL), w AS (SELECT category, value, count(*) AS n FROM c GROUP BY ALL HAVING count(*) BETWEEN 2 AND 100)
+SELECT category, a.site AS site1, a.url AS url1, b.site AS site2, b.url AS url2, round(sum(1 / n), 6) AS score
+FROM c a JOIN c b USING (category, value) JOIN w USING (category, value) WHERE a.site < b.site GROUP BY ALL HAVING round(sum(1 / n), 6) > 0.1
+""")
+def key_linkages(spark: SparkSession, sf: str) -> DataFrame:
+    # Customer keys are on few pages at every size; segments, states and priorities are dropped as popular.
+    c, o = B.table(spark, sf, "customer"), B.table(spark, sf, "orders")
+    rows = C.from_wide(c, F.lit("customer"), F.lit("k"), F.col("c_custkey"), ["c_custkey", "c_mktsegment"])
+    return A.potential_linkages(rows.unionByName(C.from_wide(o, F.lit("orders"), F.lit("k"), F.col("o_orderkey"), ["o_custkey", "o_orderstatus", "o_orderpriority"])))
+
+
 @query("""
 WITH p AS (SELECT category, site, url, count(DISTINCT pid) AS p FROM linkage GROUP BY ALL), m AS (SELECT category, count(*) AS pages, count(CASE WHEN p > 1 THEN 1 END) AS multi_pages FROM p GROUP BY 1),
 e AS (SELECT category, pid, count(*) AS n, count(DISTINCT site) AS s FROM linkage GROUP BY ALL)

@@ -58,3 +58,10 @@ def test_page_copies_against_brute_force(spark):
     for least, ratio in ((3, 0.9), (3, 0.7), (1, 0.5), (2, 0.8)):
         want = brute(pages, least, ratio)
         assert len(want) > 10 and found(A.page_copies(table(spark, pages), least, ratio)) == want
+
+
+def test_linkages_by_key_at_a_larger_size(spark):
+    from attrweave.plans import queries
+
+    rows = queries.QUERIES["key_linkages"](spark, "/root/testdata/sf0.1").collect()
+    assert rows and all((r.site1, r.site2) == ("customer", "orders") and r.score > 0.1 for r in rows)
