@@ -27,7 +27,7 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many documents as came, all sources alike in number; a document may come more than once."""
-    return mixing.mix(docs).drop("copy")
+    return mixing.mix(docs, copy="__aw_copy").drop("__aw_copy")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

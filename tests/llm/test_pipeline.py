@@ -80,3 +80,11 @@ def test_stages_on_hard_rows_and_none(spark):
             left.count()
         tokens = corpus_pipeline.STAGES[-1][1](spark, left, "").collect()
         assert all(r.round_trip for r in tokens)
+
+
+def test_mixing_keeps_a_column_named_copy(spark):
+    table = docs(spark, [(k, f"text number {k}", "en", "s") for k in range(6)]).selectExpr("*", "doc_id * 2 AS copy")
+    mixed = corpus_pipeline.mixing_stage(spark, table, "")
+    assert mixed.columns == table.columns
+    rows = mixed.collect()
+    assert rows and all(r.copy == 2 * r.doc_id for r in rows)
