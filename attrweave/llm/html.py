@@ -26,7 +26,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -65,14 +65,17 @@ class Dom:
     tag: list[str]
     attributes: list[str]
     pieces: list[tuple[int, str]]  # the node that a text belongs to, and the text, in order
+    spaced: set[int] = field(default_factory=set)  # pieces with a text of white space alone, which is no piece, before them
 
 
 def parse(page: str) -> Dom:
     """The nodes of a page, the root first, parents before children."""
-    parent, tag, attributes, pieces = [-1], ["#root"], [""], []
+    parent, tag, attributes, pieces, spaced = [-1], ["#root"], [""], [], set()
     open_, at = [0], 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at and not page[at : m.start()].isspace():
+        if m.start() > at and page[at : m.start()].isspace():
+            spaced.add(len(pieces))
+        elif m.start() > at:
             pieces.append((open_[-1], html.unescape(page[at : m.start()])))
         at = m.end()
         name = m[3]
@@ -98,7 +101,7 @@ def parse(page: str) -> Dom:
             open_.append(len(tag) - 1)
     if at < len(page) and not page[at:].isspace():
         pieces.append((open_[-1], html.unescape(page[at:])))
-    return Dom(parent, tag, attributes, pieces)
+    return Dom(parent, tag, attributes, pieces, spaced)
 
 
 _hashed: dict[str, int] = {}
@@ -262,14 +265,16 @@ def text_below(dom: Dom, nodes: list[int]) -> str:
         if dom.tag[k] not in _BLOCK:
             block[k] = block[dom.parent[k]]
     lines: list[str] = []
-    last = -1
-    for node, text in dom.pieces:
+    last, space = -1, False
+    for k, (node, text) in enumerate(dom.pieces):
+        space |= k in dom.spaced
         if inside[node]:
             if block[node] == last:
-                lines[-1] += text
+                lines[-1] += f" {text}" if space else text
             else:
                 lines.append(text)
                 last = block[node]
+            space = False
     return "\n".join(x for line in lines if (x := " ".join(line.split())))
 
 

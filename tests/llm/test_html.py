@@ -96,3 +96,12 @@ def test_edge_cases(spark):
     from pyspark.sql import functions as F
 
     assert html.train(spark.createDataFrame([], "page_id long, html string"), spark.createDataFrame([], "doc_id long, text string"), F.col("page_id")) is None
+
+
+def test_white_space_between_inline_elements():
+    def text(page):
+        return html.text_below(html.parse(page), [0])
+
+    assert text("<p><b>one</b> <i>two</i>\n<a>three</a>four</p> <p>five</p>") == "one two threefour\nfive"
+    dom = html.parse("<p><b>one</b> <i>two</i></p>")
+    assert html.text_below(dom, [dom.tag.index("b"), dom.tag.index("i")]) == "one two"
