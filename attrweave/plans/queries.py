@@ -340,7 +340,7 @@ def classic_clusters(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def name_baseline(spark: SparkSession, sf: str) -> DataFrame:
     d = B.table(spark, sf, "conversations")
-    rows = d.select(F.col("role").alias("site"), F.lit("chat").alias("category"), F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("url"), F.concat(F.lit("turn"), F.least("turn", F.lit(9)).cast("string")).alias("name"), F.substring_index("text", " ", 1).alias("value"))
+    rows = d.select(F.col("role").alias("site"), F.lit("chat").alias("category"), F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("url"), F.concat(F.lit("turn"), F.col("turn").cast("string")).alias("name"), F.explode(F.array_distinct(F.split(F.trim(F.col("text")), r"\s+"))).alias("value")).filter("value <> ''")
     return K.cluster(K.by_name(rows, frequent=True), _nodes(rows), "source")
 
 
