@@ -72,6 +72,27 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+_ZSTD = pa.Codec("zstd", 3)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """The arrays as one compressed value."""
+    head = ";".join(f"{a.dtype.str}{len(a)}" for a in arrays).encode()
+    raw = b"".join([len(head).to_bytes(4, "little"), head, *[np.ascontiguousarray(a).tobytes() for a in arrays]])
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def unpack(value: bytes) -> list[np.ndarray]:
+    """What pack() was given; the arrays can't be changed."""
+    raw = _ZSTD.decompress(value[8:], int.from_bytes(value[:8], "little"), asbytes=True)
+    at = 4 + int.from_bytes(raw[:4], "little")
+    out = []
+    for x in raw[4:at].decode().split(";"):
+        out.append(np.frombuffer(raw, dtype=x[:3], count=int(x[3:]), offset=at))
+        at += out[-1].nbytes
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -85,25 +106,27 @@ def plain(word: str) -> str:
 
 
 class WordIds:
-    """Numbers for words, one worker's memory of hashes; it starts anew beyond `most` words."""
+    """Numbers for words, one worker's memory of hashes; it starts anew beyond `most` words or `most_letters` in them."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 400_000, most_letters: int = 16_000_000) -> None:
         from xxhash import xxh3_64_intdigest
 
-        self.digest, self.most, self.ids = xxh3_64_intdigest, most, {}
+        self.digest, self.most, self.most_letters, self.ids, self.letters = xxh3_64_intdigest, most, most_letters, {}, 0
         self.hashes = np.empty(0, dtype=np.uint64)
         self.starts = 0  # how often it has started anew
 
     def number(self, words: list[str]) -> np.ndarray:
         """The number of each word; self.hashes has the 64-bit hash of its plain form by number, until the next call."""
         ids = self.ids
-        if len(ids) > self.most:
+        if len(ids) > self.most or self.letters > self.most_letters:
             ids.clear()
+            self.letters = 0
             self.hashes = np.empty(0, dtype=np.uint64)
             self.starts += 1
         fresh = []
         for word in set(words).difference(ids):
             ids[word] = len(ids)
+            self.letters += len(word)
             fresh.append(self.digest(plain(word)))
         if fresh:
             self.hashes = np.concatenate([self.hashes, np.array(fresh, dtype=np.uint64)])

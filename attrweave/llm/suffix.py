@@ -1,14 +1,20 @@
 """Repeated passages by a depth-limited radix sort of suffixes.
 
-A suffix is what follows a word; only its first DEPTH plain words count. The order is by most-significant-digit passes:
-
-1. The first digit of a suffix is the least hashed n-gram of GRAM words among its first DEPTH words. Suffixes in a row
-   that share it, which most neighbours do, travel as one row; equal suffixes have equal digits. One exchange groups
-   the digits of the whole corpus, and those that occur once drop out: their suffixes can't be repeated.
-2. For the rest, the remaining depth is the second digit: a hash of all DEPTH words. Rows are exchanged by the first
-   digit and, inside, ordered by it and the document; equal groups are exactly the repeated windows (up to collisions
-   of 64-bit hashes). A group is streamed in order of document and position, so what is held of a popular passage is its
-   distinct windows, never its occurrences.
+A suffix is what follows a word; only its first `depth` plain words count. It is sorted by digits, the most significant
+first: the first digit is its first GRAM words, and each later one twice as many of the words that follow, up to `depth`
+(8, 16 and 26 words). A pass orders the suffixes inside each group of the pass before by their next digit; groups of one
+drop out at once, and nothing beyond `depth` is looked at. The groups of the last pass are the repeated windows.
+
+1. Documents are read once: each batch of them becomes one row with numbers for words and the words' 64-bit hashes, written as a
+   table. Later passes read that, never the texts.
+2. A pass sends, from each batch, the group of each suffix after its digit, once for each batch: a key, sorted, as
+   differences, to a bucket of keys. The bucket answers one bit for each key, whether another suffix has it too. With the bits
+   the batch keeps the suffixes that aren't alone, and the words that they span.
+3. The last pass also sends the first document of each group and is answered which document is the first of all.
+
+A popular passage reaches a bucket once for each batch, never once for each occurrence, so no task grows with it. Values of
+digits are hashes, so the order among groups is arbitrary but fixed; the groups of the last pass are told apart by 96 bits:
+with 10 ** 13 suffixes, two different windows share a group with a chance of less than one in a hundred.
 
 Each repeated window but its first occurrence, in order of doc_id and position, is a copy. Neighbouring windows join to
 spans of words.
@@ -16,16 +22,19 @@ spans of words.
 Where copies overlap their own first occurrence, as in periodic text, each word that goes has an equal one before it that
 stays: one period is left.
 
-Edge cases: a null or empty text, or one of less than DEPTH words, has no window; documents are told apart by doc_id and
+Edge cases: a null or empty text, or one of less than `depth` words, has no window; documents are told apart by doc_id and
 text, so fully repeated rows count as one document, and different texts under one doc_id as two; a null doc_id counts
-as an id below all others; a passage that repeats inside one document is found as well; an empty table gives an empty
-table; only doc_id and text are read, and remove_repeats() returns all columns as they came.
+as an id below all others; a passage that repeats inside one document is found as well; a text of any length is one piece
+of a batch, as long as memory allows; an empty table gives an empty table; only doc_id and text are read, and
+remove_repeats() returns all columns as they came.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,27 +42,27 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrweave.llm.common import WordIds, mix64, ranges, slices, text_of, written
+from attrweave.llm.common import WordIds, mix64, pack, ranges, slices, text_of, unpack, written
 
 #: Words of a window.
 DEPTH = 50
-#: Words of the n-gram that is the first digit.
+#: Words of the first digit.
 GRAM = 8
+#: Bytes of text of a batch, and keys of a bucket, about: what a task holds at a time.
+BATCH_BYTES, BUCKET_KEYS = 3_000_000, 2_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 SPAN = "doc_id long, tag long, start int, stop int, kept boolean, first_doc_id long"
 
 
-def _powers(count: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(count - 1, _ODD, dtype=np.uint64)]), dtype=np.uint64)
-
-
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int, odd: np.uint64 = _ODD) -> np.ndarray:
     """A hash of each run of width words, modulo 2 ** 64 and mixed."""
     count = len(words) - width + 1
     if count <= 0:
         return np.empty(0, dtype=np.uint64)
-    # Widths of powers of two double up: H(2k)[i] = H(k)[i] * ODD ** k + H(k)[i + k].
-    whole, at, power, have, done = None, words.astype(np.uint64), _powers(width + 1), 1, 0
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(width, odd, dtype=np.uint64)]), dtype=np.uint64)
+    # Widths of powers of two double up: H(2k)[i] = H(k)[i] * odd ** k + H(k)[i + k].
+    whole, at, have, done = None, words.astype(np.uint64), 1, 0
     left = width
     while left:
         if left & 1:
@@ -67,172 +76,328 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix64(whole + np.uint64(width))
 
 
-def anchors(words: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(digit, first window, windows, may repeat here) of each run of windows that share their first digit.
+def digit_ends(depth: int, gram: int) -> list[int]:
+    """Where each digit ends, in words: each is twice as long as the one before, the last ends at depth."""
+    ends, width = [], gram
+    while not ends or ends[-1] < depth:
+        ends.append(min(depth, (ends[-1] if ends else 0) + width))
+        width *= 2
+    return ends
+
+
+def groups(words: np.ndarray, places: np.ndarray, ends: list[int], odd: np.uint64 = _ODD) -> np.ndarray:
+    """The group of the suffix at each place after the digits that end at `ends`."""
+    group, start = np.zeros(len(places), dtype=np.uint64), 0
+    for end in ends:
+        digit = window_hashes(words, end - start, odd)[places + start]
+        group = digit if start == 0 else mix64(group * odd + digit)
+        start = end
+    return group
+
 
-    may repeat here: the digit's n-gram occurs more than once in these words, so two of their windows may be equal.
+@dataclass
+class Batch:
+    """Stretches of words of some documents, one after the other, and the places of suffixes that aren't alone so far.
+
+    Documents are in order of doc_id and tag, stretches in order of document and start.
     """
-    grams, span = window_hashes(words, gram), depth - gram + 1
-    count = len(grams) - span + 1
-    if count <= 0:
-        none = np.empty(0, dtype=np.int64)
-        return np.empty(0, dtype=np.uint64), none, none, none.astype(bool)
-    least, have = grams, 1
-    while have * 2 <= span:
-        least = np.minimum(least[: len(least) - have], least[have:])
-        have *= 2
-    least = np.minimum(least[:count], least[span - have : span - have + count])
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    digit, runs = least[first], np.diff(np.append(first, count))
-    reach = runs + span - 1
-    ends = np.cumsum(reach)
-    hits = np.add.reduceat((grams[ranges(first, reach)] == np.repeat(digit, reach)).astype(np.int32), ends - reach)
-    _, number, times = np.unique(digit, return_inverse=True, return_counts=True)
-    return digit, first, runs, (hits > 1) | (times[number] > 1)
-
-
-def _hashed(batch: pa.RecordBatch, words: WordIds, text: int) -> Iterator[np.ndarray]:
-    for value in batch.column(text).to_pylist():
-        found = value.split()
-        yield words.of(found) if found else np.empty(0, dtype=np.uint64)
-
-
-def _digits(depth: int, gram: int):
+
+    doc_id: np.ndarray
+    tag: np.ndarray
+    doc: np.ndarray  # of each stretch
+    start: np.ndarray
+    length: np.ndarray
+    codes: np.ndarray  # of each word, the place of its hash in names
+    names: np.ndarray
+    places: np.ndarray
+
+    def body(self) -> bytes:
+        live = np.zeros(len(self.codes), dtype=bool)
+        live[self.places] = True
+        codes = self.codes.astype(np.uint16 if len(self.names) <= 1 << 16 else np.uint32)
+        return pack(self.doc_id, self.tag, self.doc.astype(np.int32), self.start.astype(np.int32), self.length.astype(np.int32), codes, self.names, np.packbits(live))
+
+    @staticmethod
+    def of(body: bytes) -> Batch:
+        doc_id, tag, doc, start, length, codes, names, live = unpack(body)
+        return Batch(doc_id, tag, doc.astype(np.int64), start.astype(np.int64), length.astype(np.int64), codes, names, np.flatnonzero(np.unpackbits(live, count=len(codes))))
+
+    @property
+    def words(self) -> np.ndarray:
+        return self.names[self.codes]
+
+    @property
+    def offsets(self) -> np.ndarray:
+        return np.cumsum(self.length) - self.length
+
+    def stretch(self) -> np.ndarray:
+        """The stretch of each place."""
+        return np.searchsorted(np.cumsum(self.length), self.places, side="right")
+
+    def kept(self, live: np.ndarray, depth: int) -> Batch:
+        """The batch with the places that are live, and the words that these span."""
+        places, stretch = self.places[live], self.stretch()[live]
+        head = np.flatnonzero(np.concatenate([[True], (np.diff(stretch) != 0) | (np.diff(places) > depth)]))
+        first, last = places[head], places[np.append(head[1:], len(places)) - 1]
+        length, own = last - first + depth, stretch[head]
+        offsets = np.cumsum(length) - length
+        used, codes = np.unique(self.codes[ranges(first, length)], return_inverse=True)
+        return Batch(self.doc_id, self.tag, self.doc[own], self.start[own] + first - self.offsets[own], length, codes, self.names[used], places + np.repeat(offsets - first, np.diff(np.append(head, len(places)))))
+
+
+def _read(depth: int, batch_bytes: int):
+    """Rows batch, places, body of the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = WordIds()
+        for batch in slices(batches, "text", batch_bytes):
+            ids, tags, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            order = np.lexsort((tags, ids))
+            same = np.concatenate([[False], (np.diff(ids[order]) == 0) & (np.diff(tags[order]) == 0)])
+            found, docs, hashes = [], [], []
+            for k in order[~same]:
+                words = texts[k].split()
+                if len(words) >= depth:
+                    # Numbers hold until the next call that starts anew, so each document's are made hashes at once.
+                    hashes.append(numbers.of(words))
+                    found.append(len(words))
+                    docs.append(k)
+            if not docs:
+                continue
+            length = np.array(found)
+            names, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+            places = ranges(np.cumsum(length) - length, length - depth + 1)
+            own = Batch(ids[docs], tags[docs], np.arange(len(docs)), np.zeros(len(docs), dtype=np.int64), length, codes, names, places)
+            yield pa.RecordBatch.from_arrays([pa.array([len(places)], pa.int64()), pa.array([own.body()], pa.binary())], names=["places", "body"])
+
+    return run
+
+
+def _squeezed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys as the first of them and the bytes of their differences, by significance."""
+    steps = np.diff(keys)
+    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
+    return keys[:1], np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T).reshape(-1)
+
+
+def _spread(first: np.ndarray, planes: np.ndarray, count: int) -> np.ndarray:
+    steps = np.zeros((count, 8), dtype=np.uint8)
+    if count > 1:
+        steps[1:, : len(planes) // (count - 1)] = planes.reshape(-1, count - 1).T
+    steps = steps.view(np.uint64).reshape(-1)
+    steps[:1] = first
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+@functools.cache
+def _edges(buckets: int, bits: int) -> np.ndarray:
+    return np.array([(k << bits) // buckets for k in range(1, buckets)], dtype=np.uint64)
+
+
+def _bounds(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Where each bucket begins among sorted keys of so many bits, and their end."""
+    return np.concatenate([[0], np.searchsorted(keys, _edges(buckets, bits)), [len(keys)]])
+
+
+def _sends(ends: list[int], buckets: int, bits: int):
+    """Rows bucket, batch, body: the groups of a batch's suffixes, and which of them it has more than once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds()
-        for batch in slices(batches, "text"):
-            digit, row = [], []
-            for k, found in enumerate(_hashed(batch, words, 2)):
-                own, _, _, inside = anchors(found, depth, gram)
-                # A digit that may repeat inside a text goes twice, so that it isn't single.
-                digit.append(np.concatenate([np.unique(own), np.unique(own[inside])]))
-                row.append(np.full(len(digit[-1]), k))
-            rows = pa.array(np.concatenate(row)) if row else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(digit).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["digit", "doc_id", "tag"])
+        for rows in batches:
+            for number, body in zip(rows.column(0).to_pylist(), rows.column(1)):
+                batch = Batch.of(body.as_py())
+                keys, times = np.unique(groups(batch.words, batch.places, ends) >> np.uint64(64 - bits), return_counts=True)
+                cuts, out = _bounds(keys, buckets, bits), []
+                live = np.flatnonzero(np.diff(cuts))
+                for k in live:
+                    a, b = cuts[k], cuts[k + 1]
+                    out.append(pack(np.array([b - a]), *_squeezed(keys[a:b]), np.packbits(times[a:b] > 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array(np.full(len(live), number)), pa.array(out, pa.binary())], names=["bucket", "batch", "body"])
 
     return run
 
 
-def _windows(depth: int, gram: int):
-    """Rows of the runs whose first digit is among the document's repeated ones, with the hash of each window."""
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one bucket, which keys of each batch are of more suffixes than one."""
+    bucket, number, keys, many = 0, [], [], []
+    for rows in batches:
+        for k, n, body in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2)):
+            (count,), first, planes, bits = unpack(body.as_py())
+            bucket = k
+            number.append(n)
+            keys.append(_spread(first, planes, count))
+            many.append(np.unpackbits(bits, count=count).astype(bool))
+    if not number:
+        return
+    size = [len(x) for x in keys]
+    keys, many = np.concatenate(keys), np.concatenate(many)
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    live = np.empty(len(keys), dtype=bool)
+    live[order] = many[order] | np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    cuts = np.cumsum([0, *size])
+    for at in range(0, len(number), 1000):
+        upto = range(at, min(at + 1000, len(number)))
+        out = [pack(np.array([size[k]]), np.packbits(live[cuts[k] : cuts[k + 1]])) for k in upto]
+        yield pa.RecordBatch.from_arrays([pa.array([number[k] for k in upto], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["batch", "bucket", "body"])
+
+
+def _thinned(ends: list[int], bits: int, depth: int):
+    """The batches with what their answers leave; rows of batch, body, answers in order of bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds()
-        for batch in slices(batches, "text", 3_000_000):
-            lists = batch.column(3)
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for k, found in enumerate(_hashed(batch, words, 2)):
-                digit, first, count, _ = anchors(found, depth, gram)
-                live = np.isin(digit, np.asarray(lists[k].values).view(np.uint64))
+        for rows in batches:
+            for body, answers in zip(rows.column(1), rows.column(2)):
+                batch = Batch.of(body.as_py())
+                parts = [unpack(x["body"]) for x in answers.as_py()]
+                live = np.concatenate([np.unpackbits(b, count=n[0]) for n, b in parts]).astype(bool)
+                _, number = np.unique(groups(batch.words, batch.places, ends) >> np.uint64(64 - bits), return_inverse=True)
+                live = live[number]
                 if live.any():
-                    windows = window_hashes(found, depth)
-                    for part, x in zip(out, (digit[live].view(np.int64), np.full(live.sum(), k), first[live], count[live], windows[ranges(first[live], count[live])].view(np.int64))):
-                        part.append(x)
-            if out[0]:
-                digit, row, first, count, windows = map(np.concatenate, out)
-                ends = np.concatenate([[0], np.cumsum(count)])
-                for a in range(0, len(digit), 20_000):
-                    b = min(a + 20_000, len(digit))
-                    rows = pa.array(row[a:b])
-                    hashes = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(windows[ends[a] : ends[b]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(digit[a:b]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first[a:b].astype(np.int32)), hashes], names=["digit", "doc_id", "tag", "first", "hashes"])
+                    batch = batch.kept(live, depth)
+                    yield pa.RecordBatch.from_arrays([pa.array([len(batch.places)], pa.int64()), pa.array([batch.body()], pa.binary())], names=["places", "body"])
+
+    return run
+
+
+def _windows(batch: Batch, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the places by window, heads of equal ones in it, windows' 64 bits, 32 bits more), the earliest place first."""
+    words = batch.words
+    high, low = groups(words, batch.places, ends), (groups(words, batch.places, ends, _OTHER) >> np.uint64(32)).astype(np.uint32)
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    heads = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
+    return order, heads, high[heads], low[heads]
+
+
+def _owners(ends: list[int], buckets: int):
+    """Rows bucket, batch, body: a batch's windows, the first document of each, and whether it has the window again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for number, body in zip(rows.column(0).to_pylist(), rows.column(1)):
+                batch = Batch.of(body.as_py())
+                order, heads, high, low = _windows(batch, ends)
+                doc, more = batch.doc[batch.stretch()][order[heads]], np.diff(np.append(heads, len(order))) > 1
+                cuts, out = _bounds(high, buckets, 64), []
+                live = np.flatnonzero(np.diff(cuts))
+                for k in live:
+                    a, b = cuts[k], cuts[k + 1]
+                    docs, at = np.unique(doc[a:b], return_inverse=True)
+                    out.append(pack(*_squeezed(high[a:b]), low[a:b], at.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32), batch.doc_id[docs], batch.tag[docs], np.packbits(more[a:b])))
+                yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array(np.full(len(live), number)), pa.array(out, pa.binary())], names=["bucket", "batch", "body"])
 
     return run
 
 
-class _Group:
-    """The windows of the digit that is read: the first occurrence of each, and whether it is known to be repeated."""
-
-    def __init__(self) -> None:
-        self.digit, self.hashes = None, np.empty(0, dtype=np.int64)
-        self.owner = np.empty((0, 3), dtype=np.int64)  # doc_id, tag, position
-        self.told = np.empty(0, dtype=bool)
-
-
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of repeated windows, from rows in order of digit, doc_id, tag and first."""
-    group = _Group()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2_000):
-            part = batch.slice(at, 2_000)
-            digits = part.column(0).to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], digits[1:] != digits[:-1], [True]])) if len(digits) else []
-            lists = part.column(4)
-            count = np.asarray(pa.compute.list_value_length(lists), dtype=np.int64)
-            ends = np.concatenate([[0], np.cumsum(count)])
-            flat, first = np.asarray(lists.flatten()), part.column(3).to_numpy().astype(np.int64)
-            ids = np.stack([part.column(1).to_numpy(), part.column(2).to_numpy()], axis=1)
-            found = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if group.digit != digits[a]:
-                    group = _Group()
-                    group.digit = digits[a]
-                row = np.repeat(np.arange(a, b), count[a:b])
-                found += _judge(group, flat[ends[a] : ends[b]], np.column_stack([ids[row], first[row] + ranges(np.zeros(b - a, dtype=np.int64), count[a:b])]))
-            if found:
-                rows = np.concatenate(found)
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one bucket, for each window of a batch: 0 it is alone, 1 the batch has its first document, 2 another has; and that one."""
+    bucket, number, parts = 0, [], []
+    for rows in batches:
+        for k, n, body in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2)):
+            first, planes, low, at, ids, tags, more = unpack(body.as_py())
+            bucket = k
+            number.append(n)
+            parts.append((_spread(first, planes, len(low)), low, ids[at], tags[at], np.unpackbits(more, count=len(low)).astype(bool)))
+    if not number:
+        return
+    size = [len(x[1]) for x in parts]
+    high, low, ids, tags, more = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    order = np.lexsort((tags, ids, low, high))
+    head = np.concatenate([[True], (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)])
+    group = np.cumsum(head) - 1
+    lead = order[head][group]  # the row with the first document, for each row in order
+    other = (ids[order] != ids[lead]) | (tags[order] != tags[lead])
+    repeated = np.zeros(group[-1] + 1, dtype=bool)
+    repeated[group[other | more[order]]] = True
+    status, first = np.empty(len(high), dtype=np.uint8), np.empty(len(high), dtype=np.int64)
+    status[order] = np.where(repeated[group], 1 + other, 0)
+    first[order] = ids[lead]
+    cuts = np.cumsum([0, *size])
+    for at in range(0, len(number), 1000):
+        out, upto = [], range(at, min(at + 1000, len(number)))
+        for k in upto:
+            own = status[cuts[k] : cuts[k + 1]]
+            docs, place = np.unique(first[cuts[k] : cuts[k + 1]][own == 2], return_inverse=True)
+            out.append(pack(own, docs, place.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32)))
+        yield pa.RecordBatch.from_arrays([pa.array([number[k] for k in upto], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["batch", "bucket", "body"])
+
+
+def _spans(ends: list[int]):
+    """Runs of repeated windows, from rows of batch, body, answers in order of bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for body, answers in zip(rows.column(1), rows.column(2)):
+                batch = Batch.of(body.as_py())
+                order, heads, _, _ = _windows(batch, ends)
+                parts = [unpack(x["body"]) for x in answers.as_py()]
+                status = np.concatenate([x[0] for x in parts])
+                first = np.zeros(len(status), dtype=np.int64)
+                first[status == 2] = np.concatenate([docs[place] for _, docs, place in parts])
+                stretch = batch.stretch()
+                doc = batch.doc[stretch]
+                first = np.where(status == 1, batch.doc_id[doc[order[heads]]], first)
+                window = np.empty(len(order), dtype=np.int64)
+                window[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+                kept = np.zeros(len(order), dtype=bool)
+                kept[order[heads]] = status == 1
+                live = np.flatnonzero(status[window] > 0)
+                if not len(live):
+                    continue
+                at = batch.start[stretch] + batch.places - batch.offsets[stretch]
+                facts = np.column_stack([doc, at, kept, first[window]])[live].astype(np.int64)
                 # Neighbours of one document with the same verdict and source join.
-                same = (rows[1:, [0, 1, 3, 4]] == rows[:-1, [0, 1, 3, 4]]).all(axis=1) & (rows[1:, 2] == rows[:-1, 2] + 1)
-                heads = np.flatnonzero(np.concatenate([[True], ~same]))
-                tails = np.append(heads[1:], len(rows)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(rows[heads, 0]), pa.array(rows[heads, 1]), pa.array(rows[heads, 2].astype(np.int32)), pa.array(rows[tails, 2].astype(np.int32)), pa.array(rows[heads, 3] == 1), pa.array(rows[heads, 4])], names=["doc_id", "tag", "start", "stop", "kept", "first_doc_id"])
-
-
-def _judge(group: _Group, hashes: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
-    """Rows (doc_id, tag, position, kept, first doc_id) of the windows that are repeated, as far as read."""
-    out, order = [], np.argsort(hashes, kind="stable")
-    unique, start, size = np.unique(hashes[order], return_index=True, return_counts=True)
-    owners = where[order[start]]
-    at = np.searchsorted(group.hashes, unique)
-    inside = np.minimum(at, max(len(group.hashes) - 1, 0))
-    known = group.hashes[inside] == unique if len(group.hashes) else np.zeros(len(unique), dtype=bool)
-    owners[known] = group.owner[inside[known]]
-    repeated = known | (size > 1)
-    told = np.zeros(len(unique), dtype=bool)
-    told[known] = group.told[inside[known]]
-    fresh = repeated & ~told
-    if fresh.any():
-        mine = owners[fresh]
-        mine = mine[np.lexsort((mine[:, 2], mine[:, 1], mine[:, 0]))]
-        out.append(np.column_stack([mine, np.ones(len(mine), dtype=np.int64), mine[:, 0]]))
-    number = np.empty(len(hashes), dtype=np.int64)
-    number[order] = np.repeat(np.arange(len(unique)), size)
-    copy = repeated[number] & (where != owners[number]).any(axis=1)
-    if copy.any():
-        out.append(np.column_stack([where[copy], np.zeros(copy.sum(), dtype=np.int64), owners[number[copy], 0]]))
-    group.told[inside[known]] = True
-    new = ~known
-    if new.any():
-        merged = np.argsort(np.concatenate([group.hashes, unique[new]]), kind="stable")
-        group.owner = np.concatenate([group.owner, owners[new]])[merged]
-        group.told = np.concatenate([group.told, repeated[new]])[merged]
-        group.hashes = np.concatenate([group.hashes, unique[new]])[merged]
-    return out
-
-
-def _tagged(docs: DataFrame) -> DataFrame:
-    text = text_of(docs)
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+                same = (facts[1:, [0, 2, 3]] == facts[:-1, [0, 2, 3]]).all(axis=1) & (facts[1:, 1] == facts[:-1, 1] + 1)
+                a = np.flatnonzero(np.concatenate([[True], ~same]))
+                z = np.append(a[1:], len(facts)) - 1
+                own = facts[a, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(batch.doc_id[own]), pa.array(batch.tag[own]), pa.array(facts[a, 1].astype(np.int32)), pa.array(facts[z, 1].astype(np.int32)), pa.array(facts[a, 2] == 1), pa.array(facts[a, 3])], names=["doc_id", "tag", "start", "stop", "kept", "first_doc_id"])
+
+    return run
 
 
-def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
+def _answered(batches: DataFrame, sent: DataFrame, buckets: int, answer) -> DataFrame:
+    """Columns batch, body, answers (in order of bucket) of the batches."""
+    answers = sent.repartitionById(buckets, "bucket").mapInArrow(answer, "batch long, bucket int, body binary")
+    answers = answers.groupBy(F.col("batch").alias("of")).agg(F.sort_array(F.collect_list(F.struct("bucket", "body"))).alias("answers"))
+    return batches.join(answers, batches["batch"] == answers["of"]).select("batch", "body", "answers")
+
+
+def _numbered(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The batches with numbers, and the places in all. Written, the numbers are the same to every reader."""
+    batches = written(rows.withColumn("batch", F.monotonically_increasing_id()), name)
+    return batches, batches.agg(F.sum("places")).first()[0] or 0
+
+
+def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """Columns doc_id, tag, start, stop, kept, first_doc_id: runs of repeated windows by their first and last start.
 
     kept: these are the first occurrences; else first_doc_id has the document of the first one.
     tag tells the texts of one doc_id apart.
     """
-    source = _tagged(docs)
-    digits = written(source.mapInArrow(_digits(depth, gram), "digit long, doc_id long, tag long"), "suffix-digits")
-    again = digits.groupBy("digit").agg(F.count("*").alias("n")).filter("n > 1").select("digit")
-    live = digits.join(again, "digit").groupBy("doc_id", "tag").agg(F.collect_set("digit").alias("digits"))
-    runs = source.join(live, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", "text", "digits")
-    runs = runs.mapInArrow(_windows(depth, gram), "digit long, doc_id long, tag long, first int, hashes array<long>")
-    return runs.repartition("digit").sortWithinPartitions("digit", "doc_id", "tag", "first").mapInArrow(_spans, SPAN)
+    text = text_of(docs)
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batches, places = _numbered(source.mapInArrow(_read(depth, batch_bytes), "places long, body binary"), "suffix-words")
+    ends = digit_ends(depth, min(gram, depth))
+    for k in range(1, len(ends)):
+        # Keys have as many bits as leave one in a thousand suffixes a chance partner; the next pass tells these apart.
+        bits, buckets = min(64, max(24, places.bit_length() + 10)), max(least, -(-places // bucket_keys))
+        own = batches.select("batch", "body")
+        sent = own.mapInArrow(_sends(ends[:k], buckets, bits), "bucket int, batch long, body binary")
+        thinned = _answered(own, sent, buckets, _answers).mapInArrow(_thinned(ends[:k], bits, depth), "places long, body binary")
+        batches, places = _numbered(thinned, "suffix-words")
+    buckets = max(least, -(-places // max(1, bucket_keys // 2)))
+    own = batches.select("batch", "body")
+    sent = own.mapInArrow(_owners(ends, buckets), "bucket int, batch long, body binary")
+    return _answered(own, sent, buckets, _firsts).mapInArrow(_spans(ends), SPAN)
 
 
 def _merged(spans: DataFrame, depth: int) -> DataFrame:
     """Columns doc_id, tag, pieces: an array of (start, stop, kept, first_doc_id) in words, stop exclusive, joined."""
-    return spans.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("stop") + depth).alias("stop"), "kept", "first_doc_id"))).alias("pieces"))
+    return spans.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("stop") + depth).alias("stop"), "kept", "first_doc_id"))).alias("pieces"))
 
 
 def passages(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
@@ -282,7 +447,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
     """
     names = docs.columns
     copies = repeats(docs, depth, gram).filter("not kept")
-    pieces = copies.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("stop") + depth).alias("stop")))).alias("__aw_pieces")).withColumnsRenamed({"doc_id": "__aw_id", "tag": "__aw_tag"})
+    pieces = copies.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("stop") + depth).alias("stop")))).alias("__aw_pieces")).withColumnsRenamed({"doc_id": "__aw_id", "tag": "__aw_tag"})
     text = text_of(docs)
     joined = docs.join(pieces, (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))) == pieces["__aw_id"]) & (F.xxhash64(text) == pieces["__aw_tag"]), "left").select(*[docs[f"`{n}`"] for n in names], "__aw_pieces")
     at = names.index("text")

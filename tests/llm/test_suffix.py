@@ -1,8 +1,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from attrweave.llm import suffix
-from attrweave.llm.common import plain
+from attrweave.llm.common import plain, unpack
 from tests.llm.cases import docs, hard
 
 
@@ -51,6 +53,27 @@ def test_windows_against_brute_force(spark):
         assert found(spark, rows, depth, gram) == brute(rows, depth)
 
 
+def test_many_batches_and_buckets(spark):
+    rows = corpus(5, ["w%d" % k for k in range(40)], 300)
+    table = docs(spark, [(d, t, "en", "s") for d, t in rows]).repartition(7)
+    out = {(r.doc_id, k): (r.kept, r.first_doc_id) for r in suffix.repeats(table, 8, 2, batch_bytes=500, bucket_keys=50).collect() for k in range(r.start, r.stop + 1)}
+    assert out == brute(rows, 8)
+
+
+def test_a_popular_passage_goes_once_for_each_batch(spark):
+    """10,000 documents share a passage: a bucket gets its windows once a batch, and its first occurrence alone stays."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    table = spark.range(10_000).selectExpr("id as doc_id", f"concat('a', id, ' b', id, ' {passage} c', id) as text").repartition(8)
+    spans = suffix.repeats(table, batch_bytes=200_000).groupBy("kept", "start", "stop", "first_doc_id").count().collect()
+    assert {tuple(r) for r in spans} == {(True, 2, 12, 0, 1), (False, 2, 12, 0, 9_999)}
+    number, ids = 4, np.arange(1_000)
+    own = suffix.Batch(ids, ids, ids, np.zeros(1_000, int), np.full(1_000, 60), np.tile(np.arange(60), 1_000), np.arange(60).astype(np.uint64), np.add.outer(ids * 60, np.arange(11)).ravel())
+    import pyarrow as pa
+
+    sent = [x for b in suffix._owners([8, 24, 50], 1)(iter([pa.RecordBatch.from_arrays([pa.array([number]), pa.array([own.body()])], names=["batch", "body"])])) for x in b.to_pylist()]
+    assert len(sent) == 1 and len(unpack(sent[0]["body"])[2]) == 11
+
+
 def test_repeats_inside_one_document(spark):
     rows = [(1, "x y z " * 10), (2, "p q r s t u v w p q r s t u v w"), (3, "none of this is twice here at all")]
     assert found(spark, rows, 6, 3) == brute(rows, 6)
@@ -87,8 +110,6 @@ def test_null_ids_come_first(spark):
 
 
 def test_window_hashes_tell_windows_apart():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     words = rng.integers(0, 3, 4000).astype(np.uint64)
     for width in (1, 2, 7, 8, 50):
