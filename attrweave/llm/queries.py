@@ -53,8 +53,8 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(_table(spark, sf_dir, "documents"))
 
 
-def op9_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.near_pairs(_table(spark, sf_dir, "embeddings"))
+def op9_embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_copies(_table(spark, sf_dir, "embeddings"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_host_rules": op8_host_rules,
-    "op9_embedding_pairs": op9_embedding_pairs,
+    "op9_embedding_copies": op9_embedding_copies,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_warc": warc.SQL, "op6_mixing": mixing.SQL, "op8_host_rules": hostrules.SQL, "op9_embedding_pairs": embeddings.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc": warc.SQL, "op6_mixing": mixing.SQL, "op8_host_rules": hostrules.SQL, "op9_embedding_copies": embeddings.SQL}
