@@ -11,11 +11,11 @@ outweighs the best choice below it; the best choice of the root is what is extra
 never contradict each other. Scripts, styles and comments are no text.
 
 Labels come from a table of the pages' true texts: a node is content if most of its words are the text's. The trees are fitted
-on TRAIN_PAGES pages at most, which is the documented bound of the sample; every page is then extracted whole.
+on TRAIN_PAGES different pages of TRAIN_LETTERS letters at most, which is the documented bound of the sample; every page is then extracted whole.
 
 Edge cases: a null or empty page, and one without text, gives an empty text; unclosed, stray and crossed tags are tolerated
-as browsers do, roughly: an end tag closes the nearest open element of its name, if any; pages as long as memory allows,
-without recursion; repeated rows and ids are extracted alike; without any labelled page nothing is content, and
+as browsers do, roughly: an end tag closes the nearest open element of its name, if any, and a tag that never closes is text;
+pages as long as memory allows, in time proportional to their length, without recursion; repeated rows and ids are extracted alike; without any labelled page nothing is content, and
 every text is empty; an empty table gives an empty table; only the named columns are read, so further columns of any name
 do no harm.
 """
@@ -25,6 +25,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,10 +38,17 @@ from attrweave.llm.common import slices, text_of
 
 #: Pages that the trees are fitted on, at most, picked by a hash of the id.
 TRAIN_PAGES = 400
+#: Letters of a page, and of a true text, beyond which it isn't fitted on, so that the sample's size is bounded.
+TRAIN_LETTERS = 200_000
 TREES, LEVELS, RATE, BINS = 40, 4, 0.2, 32
 HASHED = 16  # features of attribute and tag tokens
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+# Possessive, so that a token is matched in one pass or not at all.
+_TOKEN = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_RAW = re.compile(r"<(script|style|noscript|template)\b[^>]*+>", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style", "noscript", "template")}
+_SPECIAL = re.compile("[>\"']")
+_HUGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -68,39 +76,95 @@ class Dom:
     spaced: set[int] = field(default_factory=set)  # pieces with a text of white space alone, which is no piece, before them
 
 
+def _text(raw: str) -> str:
+    return html.unescape(_HUGE.sub("\ufffd", raw))
+
+
+def _closed(page: str) -> tuple[list[int], list[bool]]:
+    """The places of quotes and > in a page, and whether a tag that goes on there, outside quotes, is closed.
+
+    From the end: a > closes, a quote passes on what holds after the next one like it.
+    """
+    places = [m.start() for m in _SPECIAL.finditer(page)]
+    closed, after = [False] * (len(places) + 1), {}
+    for k in range(len(places) - 1, -1, -1):
+        letter = page[places[k]]
+        closed[k] = letter == ">" or (letter in after and closed[after[letter] + 1])
+        if letter != ">":
+            after[letter] = k
+    return places, closed
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
+    """(start, end, tag or None) of what isn't text, each character read a fixed number of times."""
+    at, last, places, closed = 0, page.rfind(">"), None, []
+    while 0 <= (i := page.find("<", at)) and i + 1 < len(page):
+        kind = page[i + 1]
+        at = i + 1
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = len(page) if end < 0 else end + 3
+            yield i, at, None
+        elif i > last:
+            continue  # nothing closes any more, but a comment still ends with the page
+        elif kind in "!?":
+            at = page.index(">", i) + 1
+            yield i, at, None
+        elif kind in "sSnNtT" and (m := _RAW.match(page, i)):
+            end = _RAW_END[m[1].lower()].search(page, m.end())
+            at = end.end() if end else len(page)
+            yield i, at, None
+        elif kind == "/" or kind.isalpha():
+            # After the first tag that never closes, a look at what closes comes before the match.
+            if places is not None and not closed[bisect_right(places, i)]:
+                continue
+            if m := _TOKEN.match(page, i):
+                at = m.end()
+                yield i, at, m
+            elif places is None:
+                places, closed = _closed(page)
+
+
 def parse(page: str) -> Dom:
     """The nodes of a page, the root first, parents before children."""
     parent, tag, attributes, pieces, spaced = [-1], ["#root"], [""], [], set()
-    open_, at = [0], 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and page[at : m.start()].isspace():
+    open_, halt, where, at = [0], [0], {}, 0  # halt: the nearest open element, from each down, that may end or stop an end
+
+    def end_from(k: int) -> None:
+        while len(open_) > k:
+            where[tag[open_.pop()]].pop()
+            halt.pop()
+
+    for start, end, m in _tokens(page):
+        if start > at and page[at:start].isspace():
             spaced.add(len(pieces))
-        elif m.start() > at:
-            pieces.append((open_[-1], html.unescape(page[at : m.start()])))
-        at = m.end()
-        name = m[3]
-        if name is None:
+        elif start > at:
+            pieces.append((open_[-1], _text(page[at:start])))
+        at = end
+        if m is None:
             continue
-        name = name.lower()
-        if m[2]:
-            for k in range(len(open_) - 1, 0, -1):
-                if tag[open_[k]] == name:
-                    del open_[k:]
-                    break
+        name = m[2].lower()
+        if m[1]:
+            if where.get(name):
+                end_from(where[name][-1])
             continue
         # An open element that this one can't be in ends, with the inline elements still open in it.
-        for k in range(len(open_) - 1, 0, -1):
+        k = halt[-1]
+        while k > 0:
             if name in _CLOSES.get(tag[open_[k]], ()):
-                del open_[k:]
+                end_from(k)
             elif tag[open_[k]] in _BLOCK:
                 break
+            k = halt[k - 1]
         parent.append(open_[-1])
         tag.append(name)
-        attributes.append(m[4])
-        if name not in _VOID and not m[4].endswith("/"):
+        attributes.append(m[3])
+        if name not in _VOID and not m[3].endswith("/"):
+            where.setdefault(name, []).append(len(open_))
+            halt.append(len(open_) if name in _BLOCK or name in _CLOSES else halt[-1])
             open_.append(len(tag) - 1)
     if at < len(page) and not page[at:].isspace():
-        pieces.append((open_[-1], html.unescape(page[at:])))
+        pieces.append((open_[-1], _text(page[at:])))
     return Dom(parent, tag, attributes, pieces, spaced)
 
 
@@ -264,18 +328,18 @@ def text_below(dom: Dom, nodes: list[int]) -> str:
         inside[k] |= inside[dom.parent[k]]
         if dom.tag[k] not in _BLOCK:
             block[k] = block[dom.parent[k]]
-    lines: list[str] = []
+    lines: list[list[str]] = []
     last, space = -1, False
     for k, (node, text) in enumerate(dom.pieces):
         space |= k in dom.spaced
         if inside[node]:
             if block[node] == last:
-                lines[-1] += f" {text}" if space else text
+                lines[-1] += [" ", text] if space else [text]
             else:
-                lines.append(text)
+                lines.append([text])
                 last = block[node]
             space = False
-    return "\n".join(x for line in lines if (x := " ".join(line.split())))
+    return "\n".join(x for line in lines if (x := " ".join("".join(line).split())))
 
 
 def label(dom: Dom, truth: str) -> np.ndarray:
@@ -311,13 +375,14 @@ def train(pages: DataFrame, texts: DataFrame, link: Column, text_key: str = "doc
 
     link: an expression over pages that gives the text_key of the page's true text, or null.
     """
-    linked = pages.filter(F.col("html").isNotNull()).select(link.cast("long").alias("k"), F.xxhash64(F.lit("html"), F.col("html")).alias("r"), F.col("html").alias("h")).filter("k is not null")
-    # The least hashes come first, so that only the sample's pages and texts travel.
-    drawn = linked.select("k", "r").orderBy("r", "k").limit(most).collect()
+    linked = pages.filter(F.length("html") <= TRAIN_LETTERS).select(link.cast("long").alias("k"), F.xxhash64(F.lit("html"), F.col("html")).alias("r"), F.col("html").alias("h")).filter("k is not null")
+    # The least hashes come first, each page's copies as one, so that only the sample's pages and texts travel.
+    drawn = linked.groupBy("r").agg(F.min("k").alias("k")).orderBy("r").limit(most).collect()
     if not drawn:
         return None
-    page = {(x[0], x[1]): x[2] for x in linked.filter(F.col("r").isin([x[1] for x in drawn])).select("k", "r", "h").collect()}
-    truth = {x[0]: x[1] for x in texts.filter(F.col(text_key).isin([x[0] for x in drawn]) & F.col("text").isNotNull()).select(F.col(text_key).cast("long"), "text").collect()}
+    named = {x[0]: x[1] for x in drawn}
+    page = {(x[0], x[1]): x[2] for x in linked.filter(F.col("r").isin(list(named)) & F.col("k").isin(list(named.values()))).dropDuplicates(["k", "r"]).select("k", "r", "h").collect() if named[x[1]] == x[0]}
+    truth = {x[0]: x[1] for x in texts.filter(F.col(text_key).isin(list(named.values())) & (F.length("text") <= TRAIN_LETTERS)).dropDuplicates([text_key]).select(F.col(text_key).cast("long"), "text").collect()}
     return fit([(page[k], truth[k[0]]) for k in sorted(page) if k[0] in truth])
 
 

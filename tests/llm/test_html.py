@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -82,6 +83,66 @@ def test_tag_soup():
     assert [dom.tag[n] for n, _ in dom.pieces] == ["#root", "p", "p", "b", "div", "#root", "li", "li"]
 
 
+def test_malformed_pages_take_time_in_proportion():
+    n = 10_000_000
+    rows = ["<a" * (n // 2), "<!" * (n // 2), "<" + "a" * n, "<a " * (n // 3) + ">", "<a '" * (n // 4) + ">", '<a ">" ' * (n // 7) + '"', "<p>" + "<a x='\">" * (n // 9), "<script" * (n // 7), "<style>" * (n // 7), "<!--" * (n // 4), "</b" * (n // 3), "&#" + "9" * n, "<div " + " class" * (n // 6) + ">"]
+    rows += ["<div>" * 100_000 + "</b>" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<b>" * 100_000 + "<p>x" * 100_000, "<b><i>" * 50_000 + "</b>" * 50_000, "<p><b>" * 50_000 + "x</b> y" * 50_000]
+    for page in rows:
+        start = time.thread_time()
+        dom = html.parse(page)
+        assert time.thread_time() - start < 20, page[:20]
+        html.text_below(dom, [0])
+        html.features(dom)
+        assert time.thread_time() - start < 40, page[:20]
+
+
+def test_tokens_against_the_plain_rule():
+    """On random short soup: what is found by passes is what a search that tries every end finds."""
+    rng = random.Random(9)
+
+    def closes(page, at):
+        while at < len(page):
+            if page[at] == ">":
+                return at + 1
+            if page[at] in "\"'":
+                at = page.find(page[at], at + 1)
+                if at < 0:
+                    return None
+            at += 1
+        return None
+
+    def slow(page):
+        out, at = [], 0
+        while at < len(page):
+            if page[at] == "<" and at + 1 < len(page) and page[at + 1].isalpha():
+                k = at + 2
+                while k < len(page) and page[k] not in " /<>\"'":
+                    k += 1
+                if (end := closes(page, k)) is not None:
+                    out.append((at, end))
+                    at = end
+                    continue
+            at += 1
+        return out
+
+    for _ in range(3_000):
+        page = "".join(rng.choice("<<>\"'ab /") for _ in range(rng.randint(1, 25)))
+        if "</" not in page:
+            assert [(a, z) for a, z, _ in html._tokens(page)] == slow(page), page
+
+
+def test_copies_of_a_page_are_fitted_on_once(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [page(rng) for _ in range(30)]
+    pages = spark.createDataFrame([(k, rows[0 if k < 400 else k - 399][0]) for k in range(429)], "page_id long, html string")
+    texts = spark.createDataFrame([(k, rows[0 if k < 400 else k - 399][1]) for k in range(429)], "doc_id long, text string")
+    trees = html.train(pages, texts, F.col("page_id"), most=30)
+    alone = html.fit([rows[k] for k in range(30)])
+    assert (np.sort(trees.leaf.ravel()).round(6) == np.sort(alone.leaf.ravel()).round(6)).all()
+
+
 def test_edge_cases(spark):
     rng = random.Random(4)
     rows = [page(rng) for _ in range(40)]
