@@ -11,11 +11,24 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 #: Stripped from both ends of a word before it is compared.
 PUNCTUATION = ".,;:!?#$%&*|()\"'[]{}«»¡¿…"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system: Hadoop's default one where it names none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def at_exit(spark: SparkSession, path: str) -> None:
+    """Removes the path when the driver's JVM ends: results may be read from it until then."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a local one only where the session names none, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,7 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
         where = context.getCheckpointDir().get()
     elif context.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
-    return where
+        at_exit(spark, context.getCheckpointDir().get())  # a folder of this application alone
+    return qualified(spark, where)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,12 +50,28 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut and later reads prune columns."""
+    """df as a Parquet table in the shared folder, until the driver ends: lineage is cut and later reads prune columns."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(names: list[str], wanted: str) -> str:
+    """The wanted name, with underscores behind it while a column has it."""
+    while wanted.lower() in {n.lower() for n in names}:
+        wanted += "_"
+    return wanted
+
+
+def whole(df: DataFrame, column: str) -> Column:
+    """The column as a long; a TypeError unless it holds whole numbers."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"{column} has to hold whole numbers, not {kind.simpleString()}")
+    return df[f"`{column}`"].cast("long")
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text column as a string; a null counts as an empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

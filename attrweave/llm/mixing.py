@@ -4,7 +4,8 @@ Each source is to have its weight's share of `total` copies. Inside a source a d
 proportional to its measure, the number of binary digits of its length in characters. The whole part of its
 expectation are certain copies; what is left of it is its odds in a Pareto sample: with u, uniform by a hash of seed and
 document, and p, its inclusion probability, documents are ranked by (u / (1 - u)) / (p / (1 - p)) and the first k of a
-source get one copy more, k being the source's rounded sum of p. So every source has a fixed size.
+source get one copy more, k being what its size has beyond the certain copies. Sizes are whole numbers that add up to
+`total`: shares are rounded down, and the largest remainders, of equal ones the first by source, get one more.
 
 The k-th rank is found without sorting a source: counts by source and logarithmic bucket of ranks give the bucket of
 the k-th; only its rows are ordered. The decision is then local
@@ -15,7 +16,7 @@ nothing; rows that agree in doc_id and length have the same u and are ordered by
 first by text get the copy, and rows alike in all of these share one decision: they all get it or, when fewer places
 are left than they are, so many of them as there are places; an empty table gives an empty table; a weight for a source
 that doesn't occur is left out and the others are scaled to 1; all columns come back as they were, with `copy` (1 for
-the first) added by mix().
+the first) added by mix(), named with an underscore behind it while docs have a column of that name.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrweave.llm.common import text_of, written
+from attrweave.llm.common import free_name, text_of, written
 
 SEED = 20_240
 #: Buckets of ranks for each power of two.
@@ -66,6 +67,23 @@ def _with(rows: DataFrame, figures: DataFrame, count: int, names: list[str]) ->
     return rows.join(F.broadcast(small), "__aw_source")
 
 
+def _sizes(wanted: DataFrame, count: int, weight_sum: float, total: int) -> DataFrame:
+    """Columns __aw_source, sum_x, share, size: the part of the total, and the whole number of copies, of each source."""
+    share = F.col("weight") / F.lit(weight_sum) * F.lit(float(total))
+    parts = wanted.select("__aw_source", "sum_x", share.alias("share"), F.floor(share).cast("long").alias("least"), (share - F.floor(share)).alias("left"))
+    more = total - (parts.agg(F.sum("least")).first()[0] or 0)
+    by = [F.desc("left"), F.asc("__aw_source")]
+    if count <= MOST_LITERAL:
+        ranked = parts.withColumn("at", F.row_number().over(Window.orderBy(*by)))
+    else:
+        # The rank is counted by sorted ranges, so no task has all sources.
+        ranges = written(parts.repartitionByRange(*by).withColumn("range", F.spark_partition_id()), "mixing-ranges")
+        before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        starts = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        ranked = ranges.join(F.broadcast(starts), "range").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*by)))
+    return ranked.select("__aw_source", "sum_x", "share", (F.col("least") + (F.col("at") <= more).cast("long")).alias("size"))
+
+
 def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = SEED) -> tuple[DataFrame, int]:
     """Columns __aw_source, share, sum_x, cut, ties of each source, and how many sources there are.
 
@@ -84,16 +102,17 @@ def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     all_ = wanted.agg(F.count("*"), F.sum("weight")).first()
     count, weight_sum = all_[0], all_[1] or 1.0
     total = narrow.count() if total is None else total
-    figures = wanted.select("__aw_source", "sum_x", (F.col("weight") / F.lit(weight_sum) * F.lit(float(total))).alias("share"))
+    figures = written(_sizes(wanted, count, weight_sum, total), "mixing-sizes")
     rows = _with(narrow, figures, count, ["share", "sum_x"])
     expected = _expected(F.col("__aw_x"), F.col("share"), F.col("sum_x"))
-    rows = rows.withColumn("p", expected - F.floor(expected)).withColumn("q", _rank(F.col("__aw_u"), F.col("p"))).filter("p > 0")
-    rows = rows.withColumn("bucket", F.floor(F.log2("q") * BUCKETS))
-    # Sums of whole numbers are the same in any order.
-    buckets = written(rows.groupBy("__aw_source", "bucket").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("p") * 2**30 + 0.5)).alias("p")), "mixing-buckets")
+    rows = rows.withColumn("p", expected - F.floor(expected)).withColumn("q", _rank(F.col("__aw_u"), F.col("p")))
+    # Rows without odds have no bucket; their certain copies count.
+    rows = rows.withColumn("bucket", F.floor(F.log2("q") * BUCKETS)).withColumn("whole", F.floor(expected).cast("long"))
+    buckets = written(rows.groupBy("__aw_source", "bucket").agg(F.count("*").alias("n"), F.sum("whole").alias("whole")), "mixing-buckets")
+    certain = buckets.groupBy("__aw_source").agg(F.sum("whole").alias("whole"))
+    left = certain.join(figures, "__aw_source").select("__aw_source", (F.col("size") - F.col("whole")).alias("k"))
     upto = Window.partitionBy("__aw_source").orderBy("bucket")
-    k = F.floor(F.sum("p").over(Window.partitionBy("__aw_source")) / 2**30 + 0.5)
-    placed = buckets.select("__aw_source", "bucket", "n", F.sum("n").over(upto).alias("upto"), k.alias("k"))
+    placed = buckets.filter("bucket is not null").select("__aw_source", "bucket", "n", F.sum("n").over(upto).alias("upto")).join(left, "__aw_source")
     edge = placed.filter("upto >= k and upto - n < k").select("__aw_source", F.col("bucket").alias("edge"), (F.col("k") - F.col("upto") + F.col("n")).alias("left"))
     near = rows.select("__aw_source", "bucket", "q").join(edge, "__aw_source").filter("bucket = edge")
     ranked = near.select("__aw_source", "q", "left", F.row_number().over(Window.partitionBy("__aw_source").orderBy("q")).alias("at"))
@@ -105,7 +124,7 @@ def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = SEED, copy: str = "copy") -> DataFrame:
     """docs, each row as many times as it is drawn, numbered from 1 in the column `copy`."""
-    names = docs.columns
+    names, copy = docs.columns, free_name(docs.columns, copy)
     chosen, count = plan(docs, weights, total, seed)
     length = F.length(text_of(docs)).cast("long")
     source = F.when(docs["source"].isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), docs["source"].cast("string")))
@@ -136,15 +155,19 @@ WITH d AS (
          (CAST(concat('0x', substr(md5(concat('{SEED}|', coalesce(CAST(doc_id AS VARCHAR), ''), '|', CAST(len AS VARCHAR))), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
   FROM d
 ), s AS (
-  SELECT source, sum(x) AS sum_x FROM m GROUP BY source
+  SELECT source, sum(x) AS sum_x, 1.0::DOUBLE / (count(*) OVER ())::DOUBLE * (SELECT count(*) FROM d)::DOUBLE AS share FROM m GROUP BY source
+), a AS (
+  SELECT source, sum_x, share, CAST(floor(share) AS BIGINT)
+         + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, source NULLS FIRST) <= (SELECT count(*) FROM d) - sum(CAST(floor(share) AS BIGINT)) OVER () THEN 1 ELSE 0 END AS size
+  FROM s
 ), e AS (
-  SELECT m.*, (1.0::DOUBLE / (SELECT count(*) FROM s)::DOUBLE * (SELECT count(*) FROM d)::DOUBLE) * m.x::DOUBLE / s.sum_x::DOUBLE AS lam
-  FROM m JOIN s ON m.source IS NOT DISTINCT FROM s.source
+  SELECT m.*, s.size, s.share * m.x::DOUBLE / s.sum_x::DOUBLE AS lam
+  FROM m JOIN a AS s ON m.source IS NOT DISTINCT FROM s.source
 ), r AS (
   SELECT *, CAST(floor(lam) AS BIGINT) AS whole, lam - floor(lam) AS p FROM e
 ), q AS (
   SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q,
-         floor(sum(CAST(floor(p * 1073741824.0 + 0.5) AS BIGINT)) OVER (PARTITION BY source)::DOUBLE / 1073741824.0 + 0.5) AS k FROM r
+         size - sum(whole) OVER (PARTITION BY source) AS k FROM r
 ), n AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, len, text) AS place FROM q
 ), c AS (

@@ -7,11 +7,13 @@ soon as a candidate lies within `tolerance` of its target, or when its interval
 narrow table (key, bytes) that is written once; then rows are exchanged once, straight to the partition of their shard,
 and sorted there.
 
-What is sent to tasks and gathered is a few numbers per shard, so shards should grow with the data (shard_bytes).
+What is sent to tasks and gathered is a few numbers per shard. Unless shard_bytes is given, a shard is what leaves TASKS for
+each core, within LEAST_BYTES and MOST_BYTES.
 
 Edge cases: a null key sorts before all others; a null text has no bytes; rows of equal keys stay together, so a shard
 can be larger than asked when they outweigh it; a text above shard_bytes fills a shard of its own; an empty table gives
-an empty table; the columns come back as they were, with `shard` added (name it otherwise if docs have one).
+an empty table; keys are whole numbers, and a column of another type is refused with a TypeError; the columns come back as
+they were, with `shard` added, named with an underscore behind it while docs have a column of that name.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attrweave.llm.common import text_of, written
+from attrweave.llm.common import free_name, text_of, whole, written
 
-SHARD_BYTES = 64 << 20
+#: Shards for each core, and bytes of a shard at least and at most.
+TASKS, LEAST_BYTES, MOST_BYTES = 4, 256 << 10, 1 << 30
 #: Part of a shard by which a splitter may miss its target.
 TOLERANCE = 0.01
 #: Candidate keys of an open splitter in a round.
@@ -34,7 +37,7 @@ _LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 def _key(docs: DataFrame, key: str) -> Column:
-    return F.coalesce(docs[f"`{key}`"].cast("long"), F.lit(_LEAST))
+    return F.coalesce(whole(docs, key), F.lit(_LEAST))
 
 
 def _below(sizes: DataFrame, probes: np.ndarray) -> np.ndarray:
@@ -63,11 +66,13 @@ def candidates(low: int, high: int, count: int) -> list[int]:
     return sorted({low + width * k // (count + 1) for k in range(1, count + 1)} - {low})
 
 
-def splitters(sizes: DataFrame, shard_bytes: int = SHARD_BYTES, tolerance: float = TOLERANCE, probes: int = PROBES) -> list[int]:
+def splitters(sizes: DataFrame, shard_bytes: int | None = None, tolerance: float = TOLERANCE, probes: int = PROBES) -> list[int]:
     """Keys, ascending, at which a new shard begins. sizes: columns key (long), bytes (long)."""
     low_key, high_key, total = sizes.agg(F.min("key"), F.max("key"), F.sum("bytes")).first()
     if not total:
         return []
+    if shard_bytes is None:
+        shard_bytes = min(max(-(-total // (TASKS * sizes.sparkSession.sparkContext.defaultParallelism)), LEAST_BYTES), MOST_BYTES)
     shards = -(-total // shard_bytes)
     targets = [total * k // shards for k in range(1, shards)]
     slack = int(tolerance * total / shards)
@@ -92,7 +97,7 @@ def splitters(sizes: DataFrame, shard_bytes: int = SHARD_BYTES, tolerance: float
     return sorted(set(done.values()) - {low_key})
 
 
-def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, tolerance: float = TOLERANCE, probes: int = PROBES, name: str = "shard") -> DataFrame:
+def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int | None = None, tolerance: float = TOLERANCE, probes: int = PROBES, name: str = "shard") -> DataFrame:
     """docs with their columns and the number of their shard; a partition per shard, sorted by key."""
     sizes = written(docs.select(_key(docs, key).alias("key"), F.octet_length(text_of(docs, text)).cast("long").alias("bytes")), "sharding")
     cuts = splitters(sizes, shard_bytes, tolerance, probes)
@@ -106,4 +111,4 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes:
     number = F.arrow_udf(place, "int")(_key(docs, key)) if cuts else F.lit(0)
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("__aw_row"), _key(docs, key).alias("__aw_key"), number.alias("__aw_shard"))
     placed = rows.repartitionById(len(cuts) + 1, "__aw_shard").sortWithinPartitions("__aw_key")
-    return placed.select(*[F.col("__aw_row").getField(c).alias(c) for c in kept], F.col("__aw_shard").alias(name))
+    return placed.select(*[F.col("__aw_row").getField(c).alias(c) for c in kept], F.col("__aw_shard").alias(free_name(kept, name)))

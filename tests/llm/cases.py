@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use themselves.
-CLASHING = ("shard_", "fp", "tag", "digit", "key", "bytes", "share", "p", "q", "host", "root", "node")
+CLASHING = ("shard", "copy", "batch", "places", "body", "fp", "tag", "digit", "key", "bytes", "share", "p", "q", "host", "root", "node")
 
 
 def docs(spark: SparkSession, rows: list[tuple], extra: bool = False) -> DataFrame:

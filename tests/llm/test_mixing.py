@@ -14,18 +14,22 @@ def brute(rows, weights=None, total=None, seed=mixing.SEED):
     weights = {s: 1.0 for s in by} if weights is None else {s: w for s, w in weights.items() if s in by and w > 0}
     total = len(rows) if total is None else total
     out = Counter()
-    for s, w in weights.items():
-        share, sum_x, odds, p_sum = w / sum(weights.values()) * total, sum(x for _, x in by[s]), [], 0
+    shares = {s: w / sum(weights.values()) * total for s, w in weights.items()}
+    sizes = {s: math.floor(x) for s, x in shares.items()}
+    for s in sorted(shares, key=lambda s: (-(shares[s] - sizes[s]), s is not None, s or ""))[: total - sum(sizes.values())]:
+        sizes[s] += 1
+    for s in weights:
+        share, sum_x, odds, left = shares[s], sum(x for _, x in by[s]), [], sizes[s]
         for k, x in by[s]:
             lam = share * x / sum_x
             out[k] += math.floor(lam)
+            left -= math.floor(lam)
             if p := lam - math.floor(lam):
                 doc, text = rows[k][0], rows[k][1] or ""
                 h = hashlib.md5(f"{seed}|{'' if doc is None else doc}|{len(text)}".encode()).hexdigest()
                 u = (int(h[:13], 16) + 0.5) / 2**52
                 odds.append(((u / (1 - u)) / (p / (1 - p)), doc is not None, doc or 0, len(text), text, k))
-                p_sum += math.floor(p * 2**30 + 0.5)
-        for *_, k in sorted(odds)[: math.floor(p_sum / 2**30 + 0.5)]:
+        for *_, k in sorted(odds)[:left]:
             out[k] += 1
     return out
 
@@ -62,6 +66,21 @@ def test_sizes_are_fixed(spark):
         assert n == {"a": 200, "b": 200}
 
 
+def test_the_total_is_exact(spark, monkeypatch):
+    rows = [(k, "x" * (k * 37 % 900), "en", f"s{k % 7}" if k % 7 else None) for k in range(100)]
+    for total in (10, 25, 100, 333):
+        check(spark, rows, total=total)
+        assert sum(counted(docs(spark, rows), total=total).values()) == total
+    monkeypatch.setattr(mixing, "MOST_LITERAL", 3)  # more sources than are ranked in one task
+    check(spark, rows, total=25)
+
+
+def test_a_column_named_copy_stays(spark):
+    table = docs(spark, [(k, "text", "en", "s") for k in range(3)]).selectExpr("*", "'mine' AS copy", "'too' AS COPY_")
+    out = mixing.mix(table, total=6)
+    assert out.columns == [*table.columns, "copy__"] and {(r["copy"], r["copy__"]) for r in out.collect()} == {("mine", 1), ("mine", 2)}
+
+
 def test_copies_are_numbered(spark):
     rows = [(k, "text", "en", "s") for k in range(3)]
     found = sorted((r.doc_id, r["copy"]) for r in mixing.mix(docs(spark, rows), total=6).collect())
@@ -73,6 +92,6 @@ def test_edge_cases(spark):
     check(spark, rows)
     table = docs(spark, rows, extra=True)
     out = mixing.mix(table)
-    assert out.columns == [*table.columns, "copy"] and out.count() == 9
+    assert out.columns == [*table.columns, "copy_"] and out.count() == 9
     assert mixing.mix(docs(spark, [])).count() == 0
     assert mixing.mix(docs(spark, rows), weights={"nowhere": 1.0}).count() == 0

@@ -37,13 +37,42 @@ def test_ties_stay_together(spark):
     assert sorted(sorted({r.doc_id for r in own}) for own in found.values()) in ([[5], [6]], [[5, 6]])
 
 
+def test_splitters_against_every_key(spark):
+    """Each splitter is as near to its target as the tolerance asks, or as any key is."""
+    rows = [(k * k % 9_973, "x" * (k * 31 % 211), "en", "s") for k in range(2_000)]
+    total = sum(len(t) for _, t, _, _ in rows)
+    sizes = spark.createDataFrame([(k, len(t)) for k, t, _, _ in rows], "key long, bytes long")
+    below = lambda at: sum(len(t) for k, t, _, _ in rows if k < at)
+    for shards in (2, 9, 40):
+        cuts = sharding.splitters(sizes, -(-total // shards))
+        count = -(-total // -(-total // shards))
+        reach = {p: below(p) for p in {k for k, *_ in rows} | {k + 1 for k, *_ in rows}}
+        for k in range(1, count):
+            target, slack = total * k // count, sharding.TOLERANCE * total / count
+            best = min(abs(v - target) for v in reach.values())
+            assert min(abs(below(c) - target) for c in cuts) <= max(slack, best)
+
+
+def test_the_default_size_splits_small_tables(spark):
+    table = docs(spark, [(k, "x" * 2_000, "en", "s") for k in range(1_000)])
+    sizes = {s: sum(len(r.text) for r in own) for s, own in shards(table).items()}
+    assert len(sizes) == 8 and max(sizes.values()) <= 1.05 * 250_000
+
+
+def test_keys_are_whole_numbers(spark):
+    import pytest
+
+    with pytest.raises(TypeError):
+        sharding.shard(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
+
+
 def test_edge_cases(spark):
     rows = hard("word " * 20_000)
     table = docs(spark, rows, extra=True)
     out = sharding.shard(table, shard_bytes=50)
-    assert out.columns == [*table.columns, "shard"] and out.count() == 9
-    first = min(r["shard"] for r in out.collect())
-    assert {r["shard"] for r in out.collect() if r.doc_id is None} == {first}
+    assert out.columns == [*table.columns, "shard_"] and out.count() == 9
+    first = min(r["shard_"] for r in out.collect())
+    assert {r["shard_"] for r in out.collect() if r.doc_id is None} == {first}
     assert sharding.shard(docs(spark, [])).count() == 0
     assert sharding.shard(docs(spark, [(2**63 - 1, "most", "en", "s"), (-(2**63), "least", "en", "s"), (0, "zero", "en", "s")]), shard_bytes=4).count() == 3
 
