@@ -30,7 +30,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page as a response and, from a later crawl, as a revisit that knows the digest alone."""
     first = warc.captures(_table(spark, sf_dir, "pages"))
     shift = (first.agg(F.max("record_id")).first()[0] or 0) + 1
-    later = first.select((F.col("record_id") + shift).alias("record_id"), "url", F.lit(None).cast("binary").alias("payload"), "digest")
+    later = first.select((F.col("record_id") + shift).alias("record_id"), "url", F.lit(None).cast("binary").alias("payload"), "digest", F.lit(warc.LATER).alias("date"))
     return warc.write_archives(first.unionByName(later)).drop("file", "offset", "length")
 
 
