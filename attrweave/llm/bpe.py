@@ -5,7 +5,9 @@ are merged, the leftmost first, until none is left. The parts are a doubly linke
 per rank with the positions of the pairs of that rank, and a bitmap of two levels over the buckets that aren't
 empty: find-first-set, first on the upper and then on the lower level, gives the least rank. A merge leaves stale entries of the pairs it
 destroyed behind; they are recognised by their rank when they come up, and skipped. A pre-token of n bytes takes
-O(n log n) at most, however long it is. Encoded pre-tokens are remembered by a worker, by their text.
+O(n log n) at most, however long it is. Encoded pre-tokens are remembered by a worker, by their text, up to a number of letters.
+
+The vocabulary is a file whose path is a parameter; it is sent to executors that don't have it.
 
 Decoding concatenates the bytes of the ids.
 
@@ -18,13 +20,15 @@ read, so further columns of any name do no harm.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrweave.llm.common import ranges, slices, text_of
@@ -38,8 +42,8 @@ _PRE = regex.compile(PATTERN)
 #: Bits of a bitmap's word number and place: two levels hold ranks below 2 ** 18.
 BITS = 9
 MASK = (1 << BITS) - 1
-#: Runs that a worker remembers before it starts anew.
-MEMORY = 800_000
+#: Runs, and letters in them, that a worker remembers before it starts anew; what one batch adds comes on top.
+MEMORY, LETTERS = 800_000, 32_000_000
 
 
 class Codec:
@@ -171,6 +175,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.letters = 0
         self.flat, self.ends = np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
     def _learn(self, runs: list[str]) -> None:
@@ -178,12 +183,13 @@ class Encoder:
             part = runs[at : at + 4_000]
             fresh, lengths = self.codec.encode_runs(part)
             self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
+            self.letters += sum(map(len, part))
             self.flat = np.concatenate([self.flat, np.array(fresh, dtype=np.int32)])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
-        if len(self.known) > self.memory:
+        if len(self.known) > self.memory or self.letters > LETTERS:
             self.forget()
         found = [_RUNS.findall(t) for t in texts]
         self._learn(list(set().union(*found).difference(self.known)))
@@ -215,16 +221,23 @@ class Decoder:
 _codecs: dict[str, tuple[Codec, Encoder, Decoder]] = {}
 
 
+def _shipped(spark: SparkSession, path: str) -> None:
+    """Sends the vocabulary to executors that don't have it at its path."""
+    if os.path.basename(path) not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
+        spark.sparkContext.addFile(path)
+
+
 def _codec(path: str) -> tuple[Codec, Encoder, Decoder]:
     """One worker's codec, with what it remembers."""
     if path not in _codecs:
-        codec = Codec.load(path)
+        codec = Codec.load(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
         _codecs[path] = codec, Encoder(codec), Decoder(codec)
     return _codecs[path]
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns key, ids (array<int>), n_tokens, round_trip: whether decoding the ids gives the text again."""
+    _shipped(docs.sparkSession, path)
     source = docs.select(F.col(key), text_of(docs, text).alias("__aw_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +254,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id", text: s
 
 def decode(tokens: DataFrame, path: str = VOCABULARY, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Columns key, text of rows with an array of ids."""
+    _shipped(tokens.sparkSession, path)
     source = tokens.select(F.col(key), F.filter(F.coalesce(F.col(ids), F.array().cast("array<int>")), lambda x: x.isNotNull()).alias("__aw_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -60,3 +61,21 @@ def test_decoding_of_odd_ids(spark):
 
 def test_empty_table(spark):
     assert bpe.encode(docs(spark, [])).count() == 0
+
+
+def test_memory_is_bounded_by_letters(monkeypatch):
+    monkeypatch.setattr(bpe, "LETTERS", 5_000)
+    encoder = bpe.Encoder(bpe.Codec.load())
+    for k in range(20):
+        text = f"{k}" * 4_000 + " short words"
+        ids, counts = encoder.encode([text])
+        assert encoder.codec.decode(ids.tolist()) == text and encoder.letters < 5_000 + 20_000
+
+
+def test_the_vocabulary_is_sent_to_executors(spark):
+    table = docs(spark, [(1, "some text", "en", "s")])
+    assert [r.round_trip for r in bpe.encode(table).collect()] == [True]
+    name = bpe.os.path.basename(bpe.VOCABULARY)
+    assert [f for f in spark.sparkContext.listFiles if f.endswith(name)]
+    found = table.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([bpe.os.path.getsize(bpe.SparkFiles.get(name))])], names=["n"]) for _ in batches), "n long")
+    assert {r.n for r in found.collect()} == {bpe.os.path.getsize(bpe.VOCABULARY)}
