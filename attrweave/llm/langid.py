@@ -27,6 +27,8 @@ ORDERS = (2, 3, 4)
 BITS = 16
 #: Labelled rows per language that the classifier is fitted on, about.
 TRAIN_PER_LANGUAGE = 500
+#: Letters of a text beyond which it isn't fitted on, and the labels, the most frequent first, that are: the sample is bounded.
+TRAIN_LETTERS, MOST_LABELS = 200_000, 1_000
 #: Nats per n-gram by which the best language has to lead the second.
 MIN_MARGIN = 0.005
 #: Nats per n-gram by which the class of no language stays behind a uniform choice of buckets, so that numbers and
@@ -112,13 +114,14 @@ def decide(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def train(docs: DataFrame, label: str = "lang", text: str = "text", per_language: int = TRAIN_PER_LANGUAGE, key: str = "doc_id") -> Model:
-    """Fits on about per_language rows of each label, picked by a hash of the key."""
-    counts = {r[0]: r[1] for r in docs.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    """Fits on about per_language rows of each label, picked by a hash of the key; see TRAIN_LETTERS and MOST_LABELS for bounds."""
+    docs = docs.filter(F.col(label).isNotNull())
+    counts = {r[0]: r[1] for r in docs.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LABELS).collect()}
     if not counts:
         return Model([], np.zeros(((1 << BITS) + 1, 0), dtype=np.float32))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (str(lang), per_language / n)])[F.col(label).cast("string")]
     drawn = F.pmod(F.xxhash64(F.lit("langid"), F.col(key)), F.lit(1_000_000)) < share * 1_000_000
-    rows = docs.filter(F.col(label).isNotNull() & drawn).select(text_of(docs, text), F.col(label).cast("string")).collect()
+    rows = docs.filter(drawn & (F.length(text_of(docs, text)) <= TRAIN_LETTERS)).select(text_of(docs, text), F.col(label).cast("string")).collect()
     return fit([(r[0], r[1]) for r in rows]) if rows else Model([], np.zeros(((1 << BITS) + 1, 0), dtype=np.float32))
 
 
