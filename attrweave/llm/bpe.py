@@ -31,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrweave.llm.common import ranges, slices, text_of
+from attrweave.llm.common import lean, ranges, slices, text_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens: contractions, letters, numbers and signs, each with a space before it, and white space.
@@ -249,7 +249,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id", text: s
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(counts), pa.array(same)], names=[key, "ids", "n_tokens", "round_trip"])
 
-    return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, ids array<int>, n_tokens long, round_trip boolean")
+    return source.mapInArrow(lean(run), f"`{key}` {source.schema[0].dataType.simpleString()}, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -267,4 +267,4 @@ def decode(tokens: DataFrame, path: str = VOCABULARY, key: str = "doc_id", ids:
                 texts = [b.decode("utf-8", "replace") for b in decoder.decode(np.asarray(lists.flatten(), dtype=np.int64), counts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
-    return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, text string")
+    return source.mapInArrow(lean(run), f"`{key}` {source.schema[0].dataType.simpleString()}, text string")

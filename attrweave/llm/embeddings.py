@@ -39,7 +39,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrweave.llm.common import components, pack, unpack, written
+from attrweave.llm.common import components, lean, pack, unpack, written
 
 THRESHOLD = 0.95
 #: Bytes of int8 vectors of a tile at most, and vectors below which a tile isn't split for the sake of more tasks.
@@ -262,8 +262,8 @@ def near_copies(table: DataFrame, key: str = "vec_id", vector: str = "embedding"
     rows, size = source.agg(F.count("*"), F.sum(F.greatest(F.size("v"), F.lit(0)))).first()
     tiles = max(1, min(-(-rows // least), 2 * spark.sparkContext.defaultParallelism), -(-(size or 0) // tile_bytes))
     part = F.pmod(F.xxhash64("hash", "id"), F.lit(tiles)).cast("int")
-    quantised = source.filter(F.col("v").isNotNull()).select("id", "hash", part.alias("part"), "v").mapInArrow(_quantised, "part int, id long, hash long, scale float, error float, q binary")
-    held = written(quantised.repartitionById(tiles, "part").mapInArrow(_tiles(threshold), "part int, dimension int, body binary, own binary"), "embedding-tiles")
+    quantised = source.filter(F.col("v").isNotNull()).select("id", "hash", part.alias("part"), "v").mapInArrow(lean(_quantised), "part int, id long, hash long, scale float, error float, q binary")
+    held = written(quantised.repartitionById(tiles, "part").mapInArrow(lean(_tiles(threshold)), "part int, dimension int, body binary, own binary"), "embedding-tiles")
     far = tiles // 2
     sent = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(far))).alias("step"))
     sent = sent.withColumn("home", F.pmod(F.col("part") - F.col("step"), F.lit(tiles)).cast("int"))
@@ -271,7 +271,7 @@ def near_copies(table: DataFrame, key: str = "vec_id", vector: str = "embedding"
         sent = sent.filter((F.col("step") < far) | (F.col("home") < F.col("part")))
     sent = sent.select("home", "step", "dimension", "body", F.when(F.col("step") == 0, F.col("own")).alias("own"))
     at_home = sent.repartitionById(tiles, "home").sortWithinPartitions("step").select("step", "dimension", "body", "own")
-    found = written(at_home.mapInArrow(_meetings(threshold), _FOUND), "embedding-meetings")
+    found = written(at_home.mapInArrow(lean(_meetings(threshold)), _FOUND), "embedding-meetings")
     links = found.filter(F.col("kind") == _LINKS).select(F.col("a").alias("id"), "n")
     edges = found.filter(F.col("kind") == _EDGE).select("a", "b")
     doubts = found.filter(F.col("kind") == _DOUBT)
@@ -281,7 +281,7 @@ def near_copies(table: DataFrame, key: str = "vec_id", vector: str = "embedding"
         full = written(source.join(named, ["id", "hash"], "left_semi").groupBy("id", "hash").agg(F.first("v").alias("v")), "embedding-vectors")
         left, right = full.select(F.col("id").alias("a"), F.col("hash").alias("ha"), F.col("v").alias("va")), full.select(F.col("id").alias("b"), F.col("hash").alias("hb"), F.col("v").alias("vb"))
         pairs = doubts.select("a", "ha", "b", "hb").join(left, ["a", "ha"]).join(right, ["b", "hb"]).select("a", "b", "va", "vb")
-        sure = written(pairs.mapInArrow(_exact(threshold), "a long, b long"), "embedding-exact")
+        sure = written(pairs.mapInArrow(lean(_exact(threshold)), "a long, b long"), "embedding-exact")
         edges = edges.unionByName(sure)
         links = links.unionByName(sure.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n")))
     counted = links.groupBy("id").agg(F.sum("n").alias("links"))

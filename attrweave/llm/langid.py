@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrweave.llm.common import slices, text_of
+from attrweave.llm.common import lean, slices, text_of
 
 ORDERS = (2, 3, 4)
 BITS = 16
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, model: Model | None = None, text: str = "text", ke
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], names, pa.array(margin), pa.array(accepted)], names=[*kept, "language", "margin", "accepted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{schema}, language string, margin double, accepted boolean")
+    return source.mapInArrow(lean(run), f"{schema}, language string, margin double, accepted boolean")
 
 
 def filter_languages(docs: DataFrame, model: Model | None = None, languages: list[str] | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
@@ -165,4 +165,4 @@ def filter_languages(docs: DataFrame, model: Model | None = None, languages: lis
                 known &= np.isin(np.array([*m.languages, ""])[best], languages)
             yield batch.filter(pa.array(known))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -42,14 +42,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrweave.llm.common import WordIds, mix64, pack, ranges, slices, text_of, unpack, written
+from attrweave.llm.common import WordIds, lean, mix64, pack, ranges, slices, text_of, unpack, written
 
 #: Words of a window.
 DEPTH = 50
 #: Words of the first digit.
 GRAM = 8
 #: Bytes of text of a batch, and keys of a bucket, about: what a task holds at a time.
-BATCH_BYTES, BUCKET_KEYS = 3_000_000, 2_000_000
+BATCH_BYTES, BUCKET_KEYS = 3_000_000, 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 SPAN = "doc_id long, tag long, start int, stop int, kept boolean, first_doc_id long"
@@ -149,7 +149,7 @@ def _read(depth: int, batch_bytes: int):
     """Rows batch, places, body of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = WordIds()
+        numbers = WordIds(150_000)
         for batch in slices(batches, "text", batch_bytes):
             ids, tags, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             order = np.lexsort((tags, ids))
@@ -360,7 +360,7 @@ def _spans(ends: list[int]):
 
 def _answered(batches: DataFrame, sent: DataFrame, buckets: int, answer) -> DataFrame:
     """Columns batch, body, answers (in order of bucket) of the batches."""
-    answers = sent.repartitionById(buckets, "bucket").mapInArrow(answer, "batch long, bucket int, body binary")
+    answers = sent.repartitionById(buckets, "bucket").mapInArrow(lean(answer), "batch long, bucket int, body binary")
     answers = answers.groupBy(F.col("batch").alias("of")).agg(F.sort_array(F.collect_list(F.struct("bucket", "body"))).alias("answers"))
     return batches.join(answers, batches["batch"] == answers["of"]).select("batch", "body", "answers")
 
@@ -380,19 +380,19 @@ def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, batch_bytes:
     text = text_of(docs)
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batches, places = _numbered(source.mapInArrow(_read(depth, batch_bytes), "places long, body binary"), "suffix-words")
+    batches, places = _numbered(source.mapInArrow(lean(_read(depth, batch_bytes)), "places long, body binary"), "suffix-words")
     ends = digit_ends(depth, min(gram, depth))
     for k in range(1, len(ends)):
         # Keys have as many bits as leave one in a thousand suffixes a chance partner; the next pass tells these apart.
         bits, buckets = min(64, max(24, places.bit_length() + 10)), max(least, -(-places // bucket_keys))
         own = batches.select("batch", "body")
-        sent = own.mapInArrow(_sends(ends[:k], buckets, bits), "bucket int, batch long, body binary")
-        thinned = _answered(own, sent, buckets, _answers).mapInArrow(_thinned(ends[:k], bits, depth), "places long, body binary")
+        sent = own.mapInArrow(lean(_sends(ends[:k], buckets, bits)), "bucket int, batch long, body binary")
+        thinned = _answered(own, sent, buckets, _answers).mapInArrow(lean(_thinned(ends[:k], bits, depth)), "places long, body binary")
         batches, places = _numbered(thinned, "suffix-words")
     buckets = max(least, -(-places // max(1, bucket_keys // 2)))
     own = batches.select("batch", "body")
-    sent = own.mapInArrow(_owners(ends, buckets), "bucket int, batch long, body binary")
-    return _answered(own, sent, buckets, _firsts).mapInArrow(_spans(ends), SPAN)
+    sent = own.mapInArrow(lean(_owners(ends, buckets)), "bucket int, batch long, body binary")
+    return _answered(own, sent, buckets, _firsts).mapInArrow(lean(_spans(ends)), SPAN)
 
 
 def _merged(spans: DataFrame, depth: int) -> DataFrame:
@@ -422,7 +422,7 @@ def passages(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()))], names=["doc_id", "start_word", "stop_word", "kept", "first_doc_id"])
 
     merged = _merged(repeats(docs, depth, gram), depth).select("doc_id", "pieces")
-    found = merged.mapInArrow(join, "doc_id long, start_word int, stop_word int, kept boolean, first_doc_id long")
+    found = merged.mapInArrow(lean(join), "doc_id long, start_word int, stop_word int, kept boolean, first_doc_id long")
     none = F.lit(-(2**63))
     return found.withColumns({c: F.when(F.col(c) != none, F.col(c)) for c in ("doc_id", "first_doc_id")})
 
@@ -469,4 +469,4 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
                 keep = pa.array(~np.isin(np.arange(batch.num_rows), gone))
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(lean(run), docs.schema)
