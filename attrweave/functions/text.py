@@ -24,7 +24,8 @@ def _ascii(s: pd.Series) -> pd.Series:
 
 def ascii_only(s: Column) -> Column:
     """Letters without their accents; what has no ASCII form goes. Only texts that need it go through Python."""
-    return F.when(s.rlike(r"^\p{ASCII}*$"), s).otherwise(_ascii(s))
+    plain = s.rlike(r"^\p{ASCII}*$")
+    return F.when(plain, s).otherwise(_ascii(F.when(~plain, s)))
 
 
 def fold(s: Column) -> Column:

@@ -47,9 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df with its lineage cut by a table in the shared folder. A checkpoint would keep the size that its plan was estimated at,
+    which a loop multiplies with every join until the numbers themselves take minutes."""
+    return written(df, "cut")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -196,7 +196,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Columns node, root of every node of edges (a, b): root is the least node it is connected with.
 
     Least labels travel along the edges and each round then follows the label's own label, so chains take
-    a logarithmic number of rounds. Each round is a checkpoint.
+    a logarithmic number of rounds. Each round is a written table.
     """
     # Both directions come from one evaluation of edges: two could differ where their order isn't fixed.
     ways = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -111,13 +111,13 @@ def linked(claims: DataFrame, linkage: DataFrame) -> DataFrame:
     return claims.join(linkage.select(*PAGE).distinct(), PAGE, "left_semi")
 
 
-def frequent_core(claims: DataFrame, least: int = 3, rounds: int = 50) -> DataFrame:
+def frequent_core(claims: DataFrame, least: int = 3) -> DataFrame:
     """Attributes on `least` pages, pages of `least` attributes, again and again until nothing goes; then sources with
     as many of both."""
     from attrweave.operators.shared import cut
 
     rows, before = cut(claims), -1
-    for _ in range(rounds):
+    while True:
         now = rows.count()
         if now == before:
             break
@@ -158,3 +158,30 @@ def contained_sets(table: DataFrame, key: str, element: str) -> DataFrame:
     sx, sy = size.select(F.col(key).alias("x"), F.col("n").alias("nx")), size.select(F.col(key).alias("y"), F.col("n").alias("ny"))
     inside = common.join(sx, "x").join(sy, "y").filter("both = nx and (nx < ny or x < y)")
     return inside.select(F.col("x").alias(key)).distinct()
+
+
+def linked_often(linkage: DataFrame, claims: DataFrame, least: int = 2, shortest: int = 1, longest: int = 100) -> DataFrame:
+    """Linkage of entities with `least` urls overall, whose id has a length in bounds, on pages that there are claims of."""
+    many = linkage.groupBy("pid").agg(F.countDistinct("url").alias("n")).filter(F.col("n") >= least).select("pid")
+    fit = linkage.filter(F.length("pid").between(shortest, longest)).join(many, "pid", "left_semi")
+    return fit.join(claims.select(*PAGE).distinct(), PAGE, "left_semi")
+
+
+def cleaned(claims: DataFrame) -> DataFrame:
+    """Claims of sites without www., without empty values; pages of a url become one, of whose values the least stays."""
+    rows = claims.select(F.regexp_replace("site", r"^www\.", "").alias("site"), "category", "url", "name", "value").filter(F.trim("value") != "")
+    return rows.groupBy("site", "category", "url", "name").agg(F.min("value").alias("value"))
+
+
+def head_attributes(claims: DataFrame) -> DataFrame:
+    """Claims of the attributes that are the head of their source by pages."""
+    size = claims.groupBy(*SA).agg(F.countDistinct("url").alias("n"))
+    head = head_tail(size, "n", ["site", "category"]).filter("part = 'HEAD'").select(*SA)
+    return claims.join(head, SA, "left_semi")
+
+
+def attribute_values(claims: DataFrame, linkage: DataFrame, linked_only: bool = False) -> DataFrame:
+    """Rows site, category, name, url, value, pid, others: of a page's entities the least is its main one."""
+    ids = linkage.groupBy(*PAGE).agg(F.array_sort(F.collect_set("pid")).alias("ids"))
+    rows = claims.join(ids, PAGE, "inner" if linked_only else "left")
+    return rows.select(*SA, "url", "value", F.get("ids", 0).alias("pid"), F.slice(F.coalesce("ids", F.array().cast("array<string>")), 2, 2**31 - 1).alias("others"))

@@ -24,37 +24,48 @@ def greedy(rows: pd.DataFrame, info: dict[str, tuple[frozenset, bool, str]], rul
     info: of a node the pages it is on, whether it is of a master source, and its source. rule: `same_page` (no two nodes of
     one page, one master at most), `source` (one node of a source at most) or `free`.
     """
-    cluster_of: dict[str, int] = {}
-    members: dict[int, set[str]] = {}
-    pages: dict[int, set] = {}
+    group_of: dict[str, int] = {}
+    members: dict[int, list[str]] = {}
+    held: dict[int, tuple[set, int]] = {}  # what a new member mustn't share, and how many masters there are
+    founded: dict[int, int] = {}
+    fresh = 0
 
-    def compatible(a: set[str], a_pages: set, b: set[str], b_pages: set) -> bool:
-        if rule == "free":
-            return True
-        if rule == "source":
-            return not ({info[x][2] for x in a} & {info[x][2] for x in b})
-        return a_pages.isdisjoint(b_pages) and sum(info[x][1] for x in a | b) <= 1
+    def alone(x: str) -> tuple[set, int]:
+        pages, master, source = info[x]
+        return {"free": set, "source": lambda: {source}, "same_page": lambda: set(pages)}[rule](), int(master)
+
+    def compatible(a: tuple[set, int], b: tuple[set, int]) -> bool:
+        return rule == "free" or (a[0].isdisjoint(b[0]) and (rule == "source" or a[1] + b[1] <= 1))
 
     ordered = rows.sort_values(["weight", "n1", "n2"], ascending=False)
     for k, (x, y) in enumerate(zip(ordered["n1"], ordered["n2"])):
-        cx, cy = cluster_of.get(x), cluster_of.get(y)
-        if cx is not None and cx == cy:
+        gx, gy = group_of.get(x), group_of.get(y)
+        if gx is not None and gx == gy:
             continue
-        a, ap = (members[cx], pages[cx]) if cx is not None else ({x}, set(info[x][0]))
-        b, bp = (members[cy], pages[cy]) if cy is not None else ({y}, set(info[y][0]))
-        if not compatible(a, ap, b, bp):
+        a, b = held[gx] if gx is not None else alone(x), held[gy] if gy is not None else alone(y)
+        if not compatible(a, b):
             continue
-        if cx is None and cy is None:
-            new = k
-        else:
-            new = min(c for c in (cx, cy) if c is not None)
-        gone = {c for c in (cx, cy) if c is not None and c != new}
-        members[new], pages[new] = a | b, ap | bp
-        for c in gone:
-            del members[c], pages[c]
-        for node in a | b:
-            cluster_of[node] = new
-    return list(cluster_of.items())
+        first = min([founded[g] for g in (gx, gy) if g is not None], default=k)
+        # The smaller group joins the larger, so a node moves a logarithmic number of times.
+        for node, g, facts in ((x, gx, a), (y, gy, b)):
+            if g is None:
+                fresh += 1
+                group_of[node], members[fresh], held[fresh] = fresh, [node], facts
+        gx, gy = group_of[x], group_of[y]
+        if len(members[gx]) < len(members[gy]):
+            gx, gy = gy, gx
+        for node in members[gy]:
+            group_of[node] = gx
+        members[gx] += members.pop(gy)
+        more, masters = held.pop(gy)
+        whole, count = held[gx]
+        if len(whole) < len(more):
+            whole, more = more, whole
+        whole |= more
+        held[gx] = whole, count + masters
+        founded.pop(gy, None)
+        founded[gx] = first
+    return [(node, founded[g]) for node, g in group_of.items()]
 
 
 def cluster(edges: DataFrame, nodes: DataFrame, rule: str = "same_page") -> DataFrame:
@@ -78,8 +89,8 @@ def cluster(edges: DataFrame, nodes: DataFrame, rule: str = "same_page") -> Data
         for node, source, master, urls in zip(n["node"], n["source"], n["master"], n["urls"]):
             info[node] = frozenset(urls if urls is not None else ()), bool(master), source
         found = greedy(e, info, rule)
-        ordered = e.sort_values(["weight", "n1", "n2"], ascending=False).reset_index(drop=True)
-        return pd.DataFrame([(node, *ordered.loc[k, ["weight", "n1", "n2"]]) for node, k in found], columns=["node", "weight", "n1", "n2"])
+        ordered = e.sort_values(["weight", "n1", "n2"], ascending=False)[["weight", "n1", "n2"]].iloc[[k for _, k in found]].reset_index(drop=True)
+        return pd.concat([pd.Series([node for node, _ in found], name="node", dtype=object), ordered], axis=1)
 
     schema = "node string, weight double, n1 string, n2 string"
     found = own.groupBy("root").cogroup(facts.groupBy("of")).applyInPandas(run, schema)
@@ -136,13 +147,18 @@ def same_clusters(before: DataFrame, after: DataFrame) -> float:
 
 def paired_overlap(before: DataFrame, after: DataFrame) -> float:
     """Clusters paired one to one, the largest overlap first: the sum of overlaps over the larger number of nodes."""
-    met = before.withColumnRenamed("cid", "c1").join(after.withColumnRenamed("cid", "c2"), "node").groupBy("c1", "c2").agg(F.count("*").alias("n"))
-    left, right, total = set(), set(), 0
-    for c1, c2, n in met.orderBy(F.col("n").desc(), "c1", "c2").toLocalIterator():
-        if c1 not in left and c2 not in right:
-            left.add(c1)
-            right.add(c2)
-            total += n
+    met = cut(before.withColumnRenamed("cid", "c1").join(after.withColumnRenamed("cid", "c2"), "node").groupBy("c1", "c2").agg(F.count("*").alias("n")))
+    total = 0
+    while True:
+        # A pair that is the first of both its clusters is what the greedy order takes of them.
+        by = [F.col("n").desc(), "c1", "c2"]
+        best = met.withColumn("a", F.row_number().over(Window.partitionBy("c1").orderBy(*by))).withColumn("b", F.row_number().over(Window.partitionBy("c2").orderBy(*by))).filter("a = 1 and b = 1").select("c1", "c2", "n")
+        best = cut(best)
+        overlap = best.agg(F.sum("n")).first()[0]
+        if overlap is None:
+            break
+        total += overlap
+        met = cut(met.join(best, "c1", "left_anti").join(best, "c2", "left_anti"))
     most = max(before.count(), after.count())
     return total / most if most else 1.0
 
@@ -171,10 +187,20 @@ def top_names(clustered: DataFrame, claims_nodes: DataFrame, k: int = 3) -> Data
 
 
 def frequent_name_edges(clustered: DataFrame, claims_nodes: DataFrame, least: int = 2, share: float = 0.33) -> DataFrame:
-    """Edges between clusters' least nodes where a name is frequent in both: `least` times and this part of the cluster."""
+    """Edges of weight 1 by folded original names in a category: between isolated attributes of a name, between the least nodes of
+    clusters in which a name is frequent (`least` times and this part of the cluster), and from one of these to an isolated one.
+
+    claims_nodes: node, name, category.
+    """
+    folded = claims_nodes.select("name").distinct().select("name", T.fold(T.original_name(F.col("name"))).alias("folded"))
+    rows = claims_nodes.join(folded, "name").withColumn("g", F.concat_ws("//", "category", "folded"))
     size = clustered.groupBy("cid").agg(F.count("*").alias("n"), F.min("node").alias("least"))
-    seen = clustered.join(claims_nodes, "node").groupBy("cid", T.original_name(F.col("name")).alias("name")).agg(F.count("*").alias("c")).join(size, "cid")
-    return clique_edges(seen.filter((F.col("c") >= least) & (F.col("c") >= share * F.col("n"))), "name", "least", 1.0)
+    seen = clustered.join(rows, "node").groupBy("cid", "g").agg(F.count("*").alias("c")).join(size, "cid")
+    heads = seen.filter((F.col("c") >= least) & (F.col("c") >= share * F.col("n"))).select("g", F.col("least").alias("node"))
+    single = rows.join(clustered, "node", "left_anti").filter(~T.is_virtual(F.col("name"))).select("g", "node")
+    across = heads.groupBy("g").agg(F.min("node").alias("x")).join(single.groupBy("g").agg(F.min("node").alias("y")), "g")
+    found = clique_edges(heads, "g", "node", 1.0).unionByName(clique_edges(single, "g", "node", 1.0))
+    return found.unionByName(across.select(F.least("x", "y").alias("n1"), F.greatest("x", "y").alias("n2"), F.lit(1.0).alias("weight"))).distinct()
 
 
 def by_name(claims: DataFrame, frequent: bool = False, least: int = 7, most_attributes: int = 7) -> DataFrame:
@@ -192,18 +218,34 @@ def by_name(claims: DataFrame, frequent: bool = False, least: int = 7, most_attr
     return edges.unionByName(clique_edges(rare, "g", "node", 1.0)).groupBy("n1", "n2").agg(F.max("weight").alias("weight"))
 
 
-def by_similar_names(nodes: DataFrame, clustered: DataFrame, claims: DataFrame, contained: float = 0.8) -> DataFrame:
-    """Full name grouping: edges of weight 1 between nodes whose names are equal as token sets and whose token domains
-    overlap (weighted containment above `contained`); the old clusters' pairs weigh 2.
+def by_similar_names(nodes: DataFrame, clustered: DataFrame, claims: DataFrame, contained: float = 0.8, real_names: bool = False, blacklist: bool = False) -> DataFrame:
+    """Full name grouping: the old clusters' pairs weigh 2; clusters and isolated attributes that have a name in common, as a
+    token set, are joined where the tokens of their domains are contained in each other to more than `contained` (weighted),
+    and their edges weigh as much. An isolated attribute with a virtual one in a cluster isn't joined.
 
-    nodes: node, category, name; claims: node, value (token sets).
+    nodes: node, category, site, name; claims: node, value (token sets). real_names: names of virtual attributes don't count;
+    blacklist: nor do names of an isolated attribute with a virtual one in a cluster.
     """
-    words = F.array_join(F.array_sort(F.array_distinct(F.split(T.original_name(F.col("name")), " +"))), " ")
-    domain = claims.select("node", F.explode("value").alias("t")).groupBy("node").agg(F.array_sort(F.collect_set("t")).alias("d"))
-    rows = nodes.select("node", F.concat_ws("//", "category", words).alias("g")).join(domain, "node")
-    a, b = rows.select("g", F.col("node").alias("n1"), F.col("d").alias("d1")), rows.select("g", F.col("node").alias("n2"), F.col("d").alias("d2"))
-    alike = a.join(b, "g").filter("n1 < n2").filter(T.weighted_containment(F.col("d1"), F.col("d2")) > contained).select("n1", "n2", F.lit(1.0).alias("weight"))
-    return clique_edges(clustered, "cid", "node", 2.0).unionByName(alike).groupBy("n1", "n2").agg(F.max("weight").alias("weight"))
+    words = F.array_join(F.array_sort(F.array_distinct(F.split(F.when(F.col("cid").isNull(), F.col("name")).otherwise(T.original_name(F.col("name"))), " +"))), " ")
+    rows = nodes.select("node", "category", "site", "name").join(clustered, "node", "left")
+    rows = rows.withColumn("g", F.concat_ws("//", "category", words)).withColumn("item", F.coalesce(F.concat(F.lit("c"), F.col("cid").cast("string")), F.concat(F.lit("n"), F.col("node"))))
+    rows = cut(rows)  # it is read six times
+    split = rows.filter(F.col("cid").isNotNull() & T.is_virtual(F.col("name"))).select("category", "site", T.original_name(F.col("name")).alias("name")).distinct()
+    gone = rows.filter(F.col("cid").isNull()).join(split, ["category", "site", "name"], "left_semi").select("node", "g")
+    items = rows.join(gone.select("node"), "node", "left_anti")
+    if real_names:
+        items = items.filter(F.col("cid").isNull() | ~T.is_virtual(F.col("name")))
+    if blacklist:
+        items = items.join(gone.select("g").distinct(), "g", "left_anti")
+    named = items.select("g", "item").distinct()
+    a, b = named.withColumnRenamed("item", "i1"), named.withColumnRenamed("item", "i2")
+    pairs = cut(a.join(b, "g").filter("i1 < i2").select("i1", "i2").distinct())
+    domain = cut(claims.select("node", F.explode("value").alias("t")).join(rows.select("node", "item"), "node").groupBy("item").agg(F.array_sort(F.collect_set("t")).alias("d")))
+    alike = pairs.join(domain.withColumnsRenamed({"item": "i1", "d": "d1"}), "i1").join(domain.withColumnsRenamed({"item": "i2", "d": "d2"}), "i2")
+    alike = cut(alike.select("i1", "i2", F.round(T.weighted_containment(F.col("d1"), F.col("d2")), 12).alias("weight"))).filter(F.col("weight") > contained)
+    held = rows.select("item", "node")
+    across = alike.join(held.withColumnsRenamed({"item": "i1", "node": "x"}), "i1").join(held.withColumnsRenamed({"item": "i2", "node": "y"}), "i2").select(F.least("x", "y").alias("n1"), F.greatest("x", "y").alias("n2"), "weight")
+    return clique_edges(clustered, "cid", "node", 2.0).unionByName(across).groupBy("n1", "n2").agg(F.max("weight").alias("weight"))
 
 
 def with_master(clustered: DataFrame, nodes: DataFrame, least: int) -> DataFrame:

@@ -113,3 +113,25 @@ def prefixes(computed: DataFrame, expected: DataFrame, order: DataFrame) -> Data
     step = both.groupBy("place").agg(F.count(F.expr("case when c = 1 and e = 1 then 1 end")).alias("tp"), F.count("c").alias("computed"), F.count("e").alias("expected"))
     w = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # a row for each source
     return metrics(order.select("place").distinct().join(step, "place", "left").na.fill(0).select("place", *[F.sum(c).over(w).alias(c) for c in ("tp", "computed", "expected")]))
+
+
+def union_level(first: DataFrame, second: DataFrame, expected: DataFrame) -> DataFrame:
+    """Metrics of the pairs of either of two clusterings (node, cid) against the expected ones."""
+    both = pairs(first, "node", "cid").union(pairs(second, "node", "cid")).distinct()
+    want = pairs(expected, "node", "cid")
+    met = both.withColumn("c", F.lit(1)).join(want.withColumn("e", F.lit(1)), ["n1", "n2"], "full_outer")
+    return metrics(met.agg(F.count(F.expr("case when c = 1 and e = 1 then 1 end")).alias("tp"), F.count("c").alias("computed"), F.count("e").alias("expected")))
+
+
+def pairs_apart(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Pairs of one of two clusterings (node, cid) that the other doesn't have: n1, n2, only_in (1 or 2)."""
+    a, b = pairs(first, "node", "cid"), pairs(second, "node", "cid")
+    return a.join(b, ["n1", "n2"], "left_anti").withColumn("only_in", F.lit(1)).unionByName(b.join(a, ["n1", "n2"], "left_anti").withColumn("only_in", F.lit(2)))
+
+
+def partitioned(computed: DataFrame, expected: DataFrame, parts: DataFrame) -> DataFrame:
+    """Metrics over attribute pairs by part: a pair is of a part if both its nodes are. parts: node, part."""
+    named = parts.select("node", "part")
+    a, b = (pairs(x.join(named, "node").withColumn("g", F.struct("part", "cid")), "node", "g", ["part"]).select("n1", "n2", F.col("part1").alias("part")) for x in (computed, expected))
+    met = a.withColumn("c", F.lit(1)).join(b.withColumn("e", F.lit(1)), ["n1", "n2", "part"], "full_outer")
+    return metrics(met.groupBy("part").agg(F.count(F.expr("case when c = 1 and e = 1 then 1 end")).alias("tp"), F.count("c").alias("computed"), F.count("e").alias("expected")))

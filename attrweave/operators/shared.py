@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a table that goes when the driver ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(where.getParent())
+    system.deleteOnExit(where.getParent())
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a table written to the shared folder. A checkpoint would keep the size that its plan was estimated at, which a loop
+    multiplies with every join until the numbers themselves take minutes; a table has the size of its files."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:

@@ -53,15 +53,15 @@ def stratified(table: DataFrame, strata: list[Column], reduction: float, key: st
     return ranked.filter(F.col("__k") <= F.greatest(F.lit(1), F.round(F.col("__n") / reduction))).drop(*names, "__k", "__n")
 
 
-def coverage_order(rows: DataFrame, source: str, item: str, steps: int = 50) -> list[tuple[str, int]]:
+def coverage_order(rows: DataFrame, source: str, item: str, steps: int | None = None) -> list[tuple[str, int]]:
     """Sources by greedy coverage: each next one has the most items not covered yet (ties by name), with their number.
 
-    The items stay distributed; a step collects one row.
+    The items stay distributed; a step collects one row. It ends when everything is covered, or after `steps`.
     """
     from attrweave.operators.shared import cut
 
     left, out = cut(rows.select(F.col(source).alias("s"), F.col(item).alias("i")).distinct()), []
-    for _ in range(steps):
+    while steps is None or len(out) < steps:
         best = left.groupBy("s").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "s").first()
         if best is None:
             break

@@ -173,3 +173,20 @@ def clustering_stats(clustered: DataFrame, sizes: DataFrame) -> DataFrame:
 def linked_pages(claims: DataFrame, linkage: DataFrame) -> DataFrame:
     """Linked pages of each attribute; a page of several entities counts for each."""
     return claims.join(linkage, ["site", "category", "url"]).groupBy(*SA).agg(F.count("*").alias("linked_pages"))
+
+
+def copy_ratios(copied: DataFrame, claims: DataFrame) -> DataFrame:
+    """Of each source the part of its pages that are copied from or to another source, or inside it (INTERNAL).
+
+    copied: category, site1, url1, site2, url2 as from page_copies().
+    """
+    ways = F.array(*[F.struct(F.col(f"site{a}").alias("site"), F.col(f"url{a}").alias("url"), F.col(f"site{b}").alias("other")) for a, b in ((1, 2), (2, 1))])
+    rows = copied.select("category", F.inline(ways)).withColumn("other", F.when(F.col("site") == F.col("other"), "INTERNAL").otherwise(F.col("other")))
+    pages = claims.groupBy("category", "site").agg(F.countDistinct("url").alias("pages"))
+    counted = rows.groupBy("category", "site", "other").agg(F.countDistinct("url").alias("copied"))
+    return counted.join(pages, ["category", "site"]).select("category", "site", "other", "copied", F.round(F.col("copied") / F.col("pages"), 6).alias("ratio"))
+
+
+def adjacency(linkage: DataFrame) -> DataFrame:
+    """The entities of each source, sorted."""
+    return linkage.groupBy("site", "category").agg(F.array_sort(F.collect_set("pid")).alias("pids"))

@@ -5,39 +5,40 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attrweave.functions import text as T
-from attrweave.operators.claims import head_tail
+from attrweave.operators.claims import contained_sets, head_tail
 
 
-
-def dictionary(clustered: DataFrame, claims: DataFrame, shortest: int = 2, longest: int = 50, least: int = 2, rarity: float = 0.5) -> DataFrame:
+def dictionary(clustered: DataFrame, claims: DataFrame, shortest: int = 2, longest: int = 50, least: int = 2, rarity: float = 0.5, source: DataFrame | None = None) -> DataFrame:
     """Columns value, clusters (sorted): values of some length that `least` original attributes of a cluster have, in few clusters.
 
-    clustered: cid, node; claims: node, name, value (folded text).
+    clustered: cid, node; claims: node, name, value (folded text); source: the clusters (cid) whose values count, all if none.
     """
     rows = claims.filter(~T.is_virtual(F.col("name")) & F.length("value").between(shortest, longest)).join(clustered, "node", "left")
     held = rows.filter("cid is not null").groupBy("cid", "value").agg(F.countDistinct("node").alias("n")).filter(F.col("n") >= least)
+    if source is not None:
+        held = held.join(source, "cid", "left_semi")
     whole = rows.agg((F.countDistinct("cid") + F.countDistinct(F.when(F.col("cid").isNull(), F.col("node")))).alias("whole"))
     known = held.groupBy("value").agg(F.array_sort(F.collect_set("cid")).alias("clusters"))
     return known.crossJoin(F.broadcast(whole)).filter(F.size("clusters") / F.col("whole") <= rarity).select("value", "clusters")
 
 
-def grams(values: DataFrame, most: int = 10) -> DataFrame:
+def grams(values: DataFrame, most: int = 10, least: int = 1) -> DataFrame:
     """Columns value, place, n, gram of the n-grams of different values."""
     words = values.select("value").distinct().withColumn("words", F.split("value", " "))
-    each = [words.select("value", F.lit(n).alias("n"), F.posexplode(F.transform(T.ngrams(F.col("words"), n), lambda g: F.array_join(g, " "))).alias("place", "gram")) for n in range(1, most + 1)]
+    each = [words.select("value", F.lit(n).alias("n"), F.posexplode(F.transform(T.ngrams(F.col("words"), n), lambda g: F.array_join(g, " "))).alias("place", "gram")) for n in range(least, most + 1)]
     out = each[0]
     for x in each[1:]:
         out = out.unionByName(x)
     return out
 
 
-def tag_all(values: DataFrame, known: DataFrame, most: int = 10) -> DataFrame:
+def tag_all(values: DataFrame, known: DataFrame, most: int = 10, least: int = 1) -> DataFrame:
     """Every n-gram that is in the dictionary: value, own (cluster or null), gram, cluster; values has value, own."""
-    hits = grams(values, most).join(known.withColumnRenamed("value", "gram"), "gram").select("value", "place", "n", "gram", F.explode("clusters").alias("cluster"))
+    hits = grams(values, most, least).join(known.withColumnRenamed("value", "gram"), "gram").select("value", "place", "n", "gram", F.explode("clusters").alias("cluster"))
     return values.select("value", "own").distinct().join(hits, "value").filter(~F.col("cluster").eqNullSafe(F.col("own"))).select("value", "own", "place", "gram", "cluster")
 
 
@@ -62,12 +63,12 @@ def longest_first(words: list[str], known: dict[str, tuple], own: object, most:
     return [(gram, clusters) for _, gram, clusters in sorted(out)]
 
 
-def tag_longest(values: DataFrame, known: DataFrame, most: int = 10) -> DataFrame:
+def tag_longest(values: DataFrame, known: DataFrame, most: int = 10, least: int = 1) -> DataFrame:
     """Columns value, own, gram, cluster by longest_first(), on different (value, own).
 
     Only entries of the dictionary that occur in a value come to it, by a join on n-grams, so it is never sent whole.
     """
-    hits = grams(values, most).join(known.withColumnRenamed("value", "gram"), "gram").groupBy("value").agg(F.collect_set(F.struct("gram", "clusters")).alias("known"))
+    hits = grams(values, most, least).join(known.withColumnRenamed("value", "gram"), "gram").groupBy("value").agg(F.collect_set(F.struct("gram", "clusters")).alias("known"))
     rows = values.select("value", "own").distinct().join(hits, "value")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,26 +77,53 @@ def tag_longest(values: DataFrame, known: DataFrame, most: int = 10) -> DataFram
             for value, own, entries in zip(part["value"], part["own"], part["known"]):
                 own = None if pd.isna(own) else int(own)
                 table = {e["gram"]: tuple(int(c) for c in e["clusters"]) for e in entries}
-                for gram, clusters in longest_first(value.split(" "), table, own, most):
+                for gram, clusters in longest_first(value.split(" "), table, own, most, least):
                     out += [(value, own, gram, c) for c in clusters]
             yield pd.DataFrame(out, columns=["value", "own", "gram", "cluster"]).astype({"own": "Int64", "cluster": "Int64"})
 
     return rows.mapInPandas(run, "value string, own long, gram string, cluster long")
 
 
+def shared_out(grams_of: dict[int, set[str]], one_cluster: bool) -> list[tuple[int, str]]:
+    """(cluster, its sorted grams): clusters of the fewest grams first, those of as few together; one_cluster: grams that are
+    used up don't count for later ones."""
+    left, used, out = {c: set(g) for c, g in grams_of.items()}, set(), []
+    while left:
+        if one_cluster:
+            left = {c: g - used for c, g in left.items()}
+        fewest = min(map(len, left.values()))
+        for c in sorted(c for c, g in left.items() if len(g) == fewest):
+            g = left.pop(c)
+            if g:
+                out.append((c, " ".join(sorted(g))))
+                used |= g
+    return out
+
+
+def snippets(tags: DataFrame, one_cluster: bool = False) -> DataFrame:
+    """Columns value, own, cluster, snippet of tagged values by shared_out()."""
+    sets = tags.groupBy("value", "own").agg(F.collect_set(F.struct("cluster", "gram")).alias("found"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for value, own, found in zip(part["value"], part["own"], part["found"]):
+                grams_of: dict[int, set[str]] = {}
+                for x in found:
+                    grams_of.setdefault(int(x["cluster"]), set()).add(x["gram"])
+                out += [(value, None if pd.isna(own) else int(own), c, g) for c, g in shared_out(grams_of, one_cluster)]
+            yield pd.DataFrame(out, columns=["value", "own", "cluster", "snippet"]).astype({"own": "Int64", "cluster": "Int64"})
+
+    return sets.mapInPandas(run, "value string, own long, cluster long, snippet string")
+
+
 def virtual_claims(claims: DataFrame, tags: DataFrame, one_cluster: bool = False) -> DataFrame:
     """Claims of virtual attributes `name#-#cluster`: the sorted grams of a value that are tagged with the cluster.
 
     one_cluster: a gram counts for the cluster with the fewest grams of the value alone. claims: site, category, url, name,
     value, own.
     """
-    rows = tags.distinct()
-    if one_cluster:
-        size = rows.groupBy("value", "own", "cluster").agg(F.count("*").alias("n"))
-        rows = rows.join(size.withColumnRenamed("own", "o"), (rows.value == size.value) & rows.own.eqNullSafe(F.col("o")) & (rows.cluster == size.cluster)).select(rows["value"], rows["own"], rows["gram"], rows["cluster"], "n")
-        rows = rows.withColumn("k", F.rank().over(Window.partitionBy("value", "own", "gram").orderBy("n"))).filter("k = 1").drop("k", "n")
-    joined = rows.groupBy("value", "own", "cluster").agg(F.array_join(F.array_sort(F.collect_set("gram")), " ").alias("snippet"))
-    named = joined.withColumnsRenamed({"value": "v", "own": "o"})
+    named = snippets(tags, one_cluster).withColumnsRenamed({"value": "v", "own": "o"})
     met = claims.join(named, (claims.value == F.col("v")) & claims.own.eqNullSafe(F.col("o")))
     return met.select("site", "category", "url", F.concat("name", F.lit(T.SEPARATOR), F.col("cluster").cast("string")).alias("name"), F.col("snippet").alias("value"))
 
@@ -126,12 +154,19 @@ def atomic(clustered: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node").join(held, "node", "left").select("node", F.coalesce("atomic", F.lit(False)).alias("atomic"))
 
 
-def clear_output(clustered: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Clusters without virtual nodes that add nothing: those whose original is in the same cluster, and clusters of virtual
-    nodes alone whose originals share a cluster. nodes: node, orig (the original's node; itself if it isn't virtual)."""
+def clear_output(clustered: DataFrame, nodes: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """Clusters without virtual nodes that add nothing: clusters of virtual nodes alone whose originals are all in one cluster,
+    virtual nodes whose original is in their cluster, and those on part of the pages of another of the same original and cluster.
+
+    nodes: node, orig (the original's node; itself if it isn't virtual); urls: node, url.
+    """
     rows = clustered.join(nodes, "node")
-    originals = clustered.withColumnsRenamed({"node": "orig", "cid": "orig_cid"})
-    placed = rows.join(originals, "orig", "left")
+    placed = rows.join(clustered.withColumnsRenamed({"node": "orig", "cid": "orig_cid"}), "orig", "left")
+    shape = placed.groupBy("cid").agg(F.max((F.col("node") == F.col("orig")).cast("int")).alias("real"), F.countDistinct("orig_cid").alias("places"), F.max(F.col("orig_cid").isNull().cast("int")).alias("isolated"))
     kept = placed.filter((F.col("node") == F.col("orig")) | ~F.coalesce(F.col("orig_cid") == F.col("cid"), F.lit(False)))
-    shape = kept.groupBy("cid").agg(F.max((F.col("node") == F.col("orig")).cast("int")).alias("real"), F.countDistinct(F.coalesce(F.col("orig_cid").cast("string"), F.col("orig"))).alias("places"))
-    return kept.join(shape.filter("real = 1 or places > 1"), "cid", "left_semi").select("cid", "node")
+    kept = kept.join(shape.filter("real = 1 or places <> 1 or isolated = 1"), "cid", "left_semi").select("cid", "node", "orig")
+    if urls is not None:
+        virtual = kept.filter("node <> orig").join(urls.select("node", "url").distinct(), "node")
+        part = contained_sets(virtual.select(F.struct("cid", "node").alias("k"), F.concat_ws("\u0001", F.col("cid").cast("string"), "orig", "url").alias("e")), "k", "e")
+        kept = kept.join(part.select("k.cid", "k.node"), ["cid", "node"], "left_anti")
+    return kept.select("cid", "node")

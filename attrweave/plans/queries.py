@@ -654,3 +654,6 @@ def linked_url_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_orderkey, CASE WHEN o_totalprice = 0 THEN 0.0 ELSE round(o_totalprice / pow(10, floor(log10(o_totalprice)) - 2)) * pow(10, floor(log10(o_totalprice)) - 2) END AS price FROM orders")
 def significant_prices(spark: SparkSession, sf: str) -> DataFrame:
     return B.table(spark, sf, "orders").select("o_orderkey", significant(F.col("o_totalprice"), 3).alias("price"))
+
+
+from attrweave.plans import queries_runs  # noqa: E402, F401  registers its queries

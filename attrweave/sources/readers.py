@@ -125,3 +125,23 @@ def split_ids(table: DataFrame, column: str, parts: list[str]) -> DataFrame:
 
 
 READERS = {"FILE": specs, "KEY_VALUES": key_values}
+
+
+def lookup(rows: DataFrame, urls: list[str] | None = None, pids: list[str] | None = None) -> DataFrame:
+    """The rows of a global linkage of some urls (normalised first) or of some entities."""
+    if urls is not None:
+        spark = rows.sparkSession
+        wanted = spark.createDataFrame([(u,) for u in urls], "asked string").select(T.normalize_url(F.col("asked")).alias("url")).distinct()
+        rows = rows.join(wanted, "url", "left_semi")
+    return rows if pids is None else rows.filter(F.col("pid").isin(pids))
+
+
+def lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """Rows (file, line) of the text files of a pattern."""
+    return spark.read.text(pattern).select(F.regexp_extract(_path(), r"([^/]+)$", 1).alias("file"), F.col("value").alias("line"))
+
+
+def csv_map(spark: SparkSession, path: str, key: str, value: str, multi: bool = False) -> DataFrame:
+    """Rows (key, value) of two columns of a CSV file: one value for a key, the least, or the sorted array of all."""
+    rows = csv(spark, path).select(F.col(key).alias("key"), F.col(value).alias("value"))
+    return rows.groupBy("key").agg(F.array_sort(F.collect_set("value")).alias("value") if multi else F.min("value").alias("value"))

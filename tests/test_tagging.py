@@ -29,4 +29,17 @@ def test_virtual_claims_and_their_filter(spark):
 def test_clear_output(spark):
     nodes = spark.createDataFrame([("a", "a"), ("a#-#1", "a"), ("b", "b"), ("c#-#2", "c"), ("c", "c")], "node string, orig string")
     clustered = spark.createDataFrame([(0, "a"), (0, "a#-#1"), (0, "b"), (1, "c#-#2")], "cid long, node string")
-    assert {(r.cid, r.node) for r in G.clear_output(clustered, nodes).collect()} == {(0, "a"), (0, "b")}
+    # The original of c#-#2 is isolated, so its cluster says something new.
+    assert {(r.cid, r.node) for r in G.clear_output(clustered, nodes).collect()} == {(0, "a"), (0, "b"), (1, "c#-#2")}
+    elsewhere = spark.createDataFrame([(0, "a"), (0, "b"), (1, "a#-#1")], "cid long, node string")
+    assert {(r.cid, r.node) for r in G.clear_output(elsewhere, nodes).collect()} == {(0, "a"), (0, "b")}
+    virtual = spark.createDataFrame([("c#-#2", "c"), ("c#-#3", "c"), ("b", "b"), ("c", "c")], "node string, orig string")
+    urls = spark.createDataFrame([("c#-#2", "u1"), ("c#-#3", "u1"), ("c#-#3", "u2"), ("b", "u3")], "node string, url string")
+    both = spark.createDataFrame([(0, "c#-#2"), (0, "c#-#3"), (0, "b")], "cid long, node string")
+    assert {(r.cid, r.node) for r in G.clear_output(both, virtual, urls).collect()} == {(0, "c#-#3"), (0, "b")}
+
+
+def test_snippets_are_shared_out():
+    found = {1: {"a", "b"}, 2: {"a"}, 3: {"b", "c"}}
+    assert G.shared_out(found, False) == [(2, "a"), (1, "a b"), (3, "b c")]
+    assert G.shared_out(found, True) == [(2, "a"), (1, "b"), (3, "c")]
