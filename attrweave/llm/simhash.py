@@ -4,17 +4,22 @@ A document's fingerprint has 512 bits: the signs of the sum of its distinct plai
 counting as +1 or -1. Two documents are near copies when their fingerprints differ in at most MAX_DISTANCE bits; the
 groups are what such pairs connect.
 
-Candidates. The first 504 bits form a ring of 56 segments of 9 bits. By the pigeonring principle a pair within the
+Three steps find the groups, and no pair within the distance is left out of what they connect:
+
+1. Most links, cheaply. The first 504 bits form a ring of 56 segments of 9 bits. By the pigeonring principle a pair within the
 distance has a segment from which on every chain of consecutive segments stays within its proportional budget: its
 first k segments differ in k * MAX_DISTANCE / 56 bits at most. A pair is a candidate where the first segment of a chain
-and one of the two after it are equal. Two exchanges lead to it: first only the chain's bits travel, by segment number, gap and the 18 equal bits,
+and one of the two after it are equal, and of large tables some bits more, so that buckets don't grow with the table. Two
+exchanges lead to it: first only the chain's bits travel, by segment number, gap and the equal bits,
 and rows without a partner within the budgets of the chains of up to nine segments drop out; the others fetch their
-fingerprints and meet again for the full Hamming distance. The equality of two segments is narrower than their budgets, so
-the search is approximate; tests hold its recall of pairs to 90 % against brute force, also of those that are 80 to 88 bits
-apart, and what a pair misses its group mostly mends. Beyond that nothing is cut: no cap on a bucket, its pairs or its size.
+fingerprints and meet again for the full Hamming distance. Inside a bucket all pairs are
+checked but only a spanning forest of the near ones is passed on. The groups of these links are labels.
+2. The rest, exactly: `hamming.search` looks for every pair of fingerprints of different labels, at the full radius of the parts.
+3. Its pairs are compared in full and join the labels.
 
-Equal fingerprints are merged before the search, so exact copies never multiply pairs. Inside a bucket all pairs are
-checked but only a spanning forest of the near ones is passed on.
+Equal fingerprints are merged before the search, so exact copies never multiply pairs. Nothing is cut: no cap on a bucket, its
+pairs or its size. The exact step does the fewer comparisons for each pair of fingerprints the more there are, but their number still
+grows faster than the table.
 
 Edge cases: a null text, or one without a word, has no fingerprint and no copy; rows that share a doc_id are one
 document; a document whose doc_id is null is never a copy; of a group the document of the least doc_id stays, so equal
@@ -24,6 +29,7 @@ all columns as they came, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrweave.llm.common import WordIds, components, cut, lean, mix64, slices, text_of, written
+from attrweave.llm import hamming
+from attrweave.llm.common import WordIds, components, cut, lean, mix64, pack, slices, text_of, unpack, written
 
 WORDS = 8  # 64-bit words of a fingerprint
 SEGMENT = 9
@@ -44,6 +51,9 @@ CHAIN = 9
 GAPS = (1, 2)
 _PAIRS = 400_000  # pairs compared at a time
 SMALL = 32  # rows of a bucket whose pairs are all listed
+#: Fingerprints beyond which the key of a bucket has a bit more for each doubling; from which on the exact search has parts of
+#: radius 3, not 2; and that one of its tasks holds.
+BUCKETED, WIDE, HELD = 250_000, 500_000, 2_000_000
 
 
 class _Bits:
@@ -129,8 +139,11 @@ def rest_of(ring: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (own << (np.arange(CHAIN - 2) * SEGMENT)).sum(axis=1)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint once for each gap and chain start: their number and the bits of two segments, and the chain's rest."""
+def _keyed(batches: Iterator[pa.RecordBatch], more: int = 0) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint once for each gap and chain start: their number and the bits of two segments, and the chain's rest.
+
+    more: how many bits of the rest belong to the key as well.
+    """
     for whole in batches:
         for at in range(0, whole.num_rows, 2_000):
             batch = whole.slice(at, 2_000)
@@ -141,6 +154,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rest = np.zeros_like(ring)
                 for j, k in enumerate(behind(gap)):
                     rest |= np.roll(ring, -k, axis=1) << (j * SEGMENT)
+                keys = keys << more | rest & ((1 << more) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rest.ravel()), batch.column(0).take(rows)], names=["chain", "rest", "doc_id"])
 
 
@@ -231,14 +245,14 @@ def near(wide: np.ndarray, rest: np.ndarray, a: np.ndarray, b: np.ndarray, most:
     return good
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) within the buckets of sorted rows (chain, doc_id, fp)."""
+def _linked(batches: Iterator[pa.RecordBatch], more: int = 0) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) within the buckets of sorted rows (chain, doc_id, fp). more: as in _keyed()."""
     for table in _buckets(batches):
         chains, ids = table.column("chain").to_numpy(), table.column("doc_id").to_numpy()
         prints = _matrix(table.column("fp").combine_chunks())
         wide, rest = np.ascontiguousarray(prints).view(np.uint64), np.empty(len(prints), dtype=np.int64)
         for at in range(0, len(prints), 20_000):
-            rest[at : at + 20_000] = rest_of(segments(prints[at : at + 20_000]), chains[at : at + 20_000] >> (2 * SEGMENT))
+            rest[at : at + 20_000] = rest_of(segments(prints[at : at + 20_000]), chains[at : at + 20_000] >> (2 * SEGMENT + more))
         starts = np.flatnonzero(np.concatenate([[True], chains[1:] != chains[:-1]]))
         sizes = np.diff(np.append(starts, len(chains)))
         out_a, out_b = [], []
@@ -273,18 +287,113 @@ def _forest(wide: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns doc_id, kept_doc_id: a row for each document that goes, with the one of its group that stays."""
-    prints = written(with_fingerprints(docs, key, text), "simhash")
-    owners = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("owner")))
-    prints_of = owners.select(F.col("owner").alias("doc_id"), "fp")
-    keyed = prints_of.mapInArrow(lean(_keyed), "chain long, rest long, doc_id long")
+def first_links(prints_of: DataFrame, more: int = 0) -> DataFrame:
+    """Edges (a, b) of most of the near pairs of rows (doc_id, fp), and of nothing else."""
+    keyed = prints_of.mapInArrow(lean(lambda batches: _keyed(batches, more)), "chain long, rest long, doc_id long")
     live = keyed.repartition("chain").sortWithinPartitions("chain").mapInArrow(lean(_partnered), "chain long, doc_id long")
     met = live.join(prints_of, "doc_id").select("chain", "doc_id", "fp")
-    edges = met.repartition("chain").sortWithinPartitions("chain", "doc_id").mapInArrow(lean(_linked), "a long, b long")
+    return met.repartition("chain").sortWithinPartitions("chain", "doc_id").mapInArrow(lean(lambda batches: _linked(batches, more)), "a long, b long")
+
+
+def _tasks(parts: list[hamming.Part], top: int) -> list[tuple[int, int, int]]:
+    """(part, tile, tile) of each task of the exact search."""
+    return [(k, u, v) for k, part in enumerate(parts) for u, v in hamming.tiles(part, top)]
+
+
+def _sends(parts: list[hamming.Part], top: int):
+    """Rows task, body: what the tasks need of rows (doc_id, fp, label)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tasks = _tasks(parts, top)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 20_000):
+                batch = whole.slice(at, 20_000)
+                ids, labels = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                bits, done, numbers, bodies = np.unpackbits(_matrix(batch.column(1)), axis=1), -1, [], []
+                for number, (k, u, v) in enumerate(tasks):
+                    if k != done:
+                        (key, one, two), done = hamming.keyed(bits, parts[k]), k
+                        tile = key >> np.uint32(parts[k].width - top)
+                    own = np.flatnonzero((tile == u) | (tile == v))
+                    if len(own):
+                        numbers.append(number)
+                        bodies.append(pack(key[own], one[own], two[own], ids[own], labels[own] - ids[own]))
+                if numbers:
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(bodies, pa.binary())], names=["task", "body"])
+
+    return run
+
+
+def _searched(parts: list[hamming.Part], top: int):
+    """Rows a, b, one, two: documents that may be near, and their labels. A partition has one task at a time, whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tasks, held = _tasks(parts, top), {}
+        for rows in batches:
+            for number, body in zip(rows.column(0).to_pylist(), rows.column(1)):
+                held.setdefault(number, []).append(body.as_py())
+        for number in sorted(held):
+            k, u, v = tasks[number]
+            key, one, two, ids, over = (np.concatenate(x) for x in zip(*[unpack(body) for body in held.pop(number)]))
+            label, out = ids + over, []
+            del over
+            for a, b in hamming.search(parts[k], key, one, two, label, u ^ v, top):
+                if len(a):
+                    out.append((a, b))
+                if len(out) >= 1_000 or len(a) >= 50_000:
+                    yield _pairs(ids, label, out)
+                    out = []
+            if out:
+                yield _pairs(ids, label, out)
+
+    return run
+
+
+def _pairs(ids: np.ndarray, label: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) for x in zip(*found))
+    a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], label[a], label[b])], names=["a", "b", "one", "two"])
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, first fingerprint, second), edges (a, b) between those within the distance."""
+    for batch in batches:
+        if batch.num_rows:
+            apart = np.bitwise_count(_matrix(batch.column(2)) ^ _matrix(batch.column(3))).sum(axis=1, dtype=np.int32)
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= MAX_DISTANCE))
+
+
+def last_links(labelled: DataFrame, count: int, held: int = HELD, wide: int = WIDE) -> DataFrame:
+    """Edges (a, b) between labels for every near pair of different labels, of `count` rows (doc_id, fp, label)."""
+    parts = hamming.parts(64 * WORDS, MAX_DISTANCE, 2 if count < wide else 3)
+    top = 0 if count <= held else math.ceil(math.log2(2 * count / held))
+    sent = labelled.select("doc_id", "fp", "label").mapInArrow(lean(_sends(parts, top)), "task int, body binary")
+    found = sent.repartitionById(len(_tasks(parts, top)), "task").mapInArrow(lean(_searched(parts, top)), "a long, b long, one long, two long")
+    prints = labelled.select("doc_id", "fp")
+    pairs = found.distinct().join(prints.select(F.col("doc_id").alias("a"), F.col("fp").alias("fp1")), "a").join(prints.select(F.col("doc_id").alias("b"), F.col("fp").alias("fp2")), "b")
+    return pairs.select(F.col("one").alias("a"), F.col("two").alias("b"), "fp1", "fp2").mapInArrow(lean(_checked), "a long, b long").distinct()
+
+
+def groups(prints: DataFrame) -> DataFrame:
+    """Columns node, root: a row for each document of rows (doc_id, fp) with a near copy, and the least of its group."""
+    owners = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("owner")))
+    prints_of = owners.select(F.col("owner").alias("doc_id"), "fp")
+    count = owners.count()
+    edges = first_links(prints_of)
     # A doc_id of several texts has several fingerprints: they count as one document.
     again = prints.join(owners, "fp").filter("doc_id <> owner").select(F.col("owner").alias("a"), F.col("doc_id").alias("b"))
-    roots = components(edges.union(again))
+    first = components(edges.union(again))
+    labels = first.select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
+    labelled = cut(prints_of.join(labels, "doc_id", "left").select("doc_id", "fp", F.coalesce("label", "doc_id").alias("label")))
+    last = components(last_links(labelled, count))
+    known = first.union(last.select("node", F.col("node").alias("root"))).distinct()  # a label of `first` is its own root
+    more = last.select(F.col("node").alias("label"), F.col("root").alias("least"))
+    return known.join(more, known.root == more.label, "left").select("node", F.coalesce("least", "root").alias("root"))
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Columns doc_id, kept_doc_id: a row for each document that goes, with the one of its group that stays."""
+    roots = groups(written(with_fingerprints(docs, key, text), "simhash"))
     return roots.filter("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"))
 
 
