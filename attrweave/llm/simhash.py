@@ -379,7 +379,7 @@ def groups(prints: DataFrame) -> DataFrame:
     owners = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("owner")))
     prints_of = owners.select(F.col("owner").alias("doc_id"), "fp")
     count = owners.count()
-    edges = first_links(prints_of)
+    edges = first_links(prints_of, max(0, round(math.log2(max(1, count) / BUCKETED))))
     # A doc_id of several texts has several fingerprints: they count as one document.
     again = prints.join(owners, "fp").filter("doc_id <> owner").select(F.col("owner").alias("a"), F.col("doc_id").alias("b"))
     first = components(edges.union(again))
