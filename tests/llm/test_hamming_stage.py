@@ -22,3 +22,11 @@ def test_one_of_each_pair_at_the_edge_stays(spark):
     rows = [(2 * int(k) + c, texts[2 * int(k) + c], "en", "s") for k in edge for c in (0, 1)]
     left = {r.doc_id for r in corpus_pipeline.near_copy_stage(spark, docs(spark, rows), "").collect()}
     assert left == {r[0] for r in rows} - {2 * k + 1 for k in near}
+
+
+def test_the_plan_is_the_same_at_any_size(spark, capsys):
+    left = corpus_pipeline.near_copy_stage(spark, docs(spark, [(1, "one text", "en", "s"), (2, "one text", "en", "s")]), "")
+    assert [r.doc_id for r in left.collect()] == [1]
+    left.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" not in plan.split("LeftAnti")[0] and "SortMergeJoin" in plan.split("LeftAnti")[0]
