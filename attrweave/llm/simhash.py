@@ -24,7 +24,8 @@ grows faster than the table.
 Edge cases: a null text, or one without a word, has no fingerprint and no copy; rows that share a doc_id are one
 document; a document whose doc_id is null is never a copy; of a group the document of the least doc_id stays, so equal
 texts leave the least; an empty table gives an empty table; only doc_id and text are read, and drop_copies() returns
-all columns as they came, whatever their names.
+all columns as they came, whatever their names. one_of_each() decides by row, not by doc_id: texts without an id and
+different texts under one id are near copies like any others, and of rows alike in both one stays.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrweave.llm import hamming
@@ -106,16 +107,17 @@ def fingerprints(texts: list[str | None], bits: _Bits) -> tuple[np.ndarray, np.n
 
 def with_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns doc_id, fp (64 bytes) of the documents that have a word and an id."""
+    source = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
+    return source.mapInArrow(lean(_printed), "doc_id long, fp binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _Bits()
-        for batch in slices(batches, "text"):
-            prints, found = fingerprints(batch.column(1).to_pylist(), bits)
-            raw = pa.Array.from_buffers(pa.binary(8 * WORDS), len(prints), [None, pa.py_buffer(np.ascontiguousarray(prints))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), raw], names=["doc_id", "fp"]).filter(pa.array(found))
 
-    source = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
-    return source.mapInArrow(lean(run), "doc_id long, fp binary")
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column, the text, is replaced by its fingerprint, fp; those without a word drop out."""
+    bits = _Bits()
+    for batch in slices(batches, "text"):
+        prints, found = fingerprints(batch.columns[-1].to_pylist(), bits)
+        raw = pa.Array.from_buffers(pa.binary(8 * WORDS), len(prints), [None, pa.py_buffer(np.ascontiguousarray(prints))]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], raw], names=[*batch.schema.names[:-1], "fp"]).filter(pa.array(found))
 
 
 def segments(prints: np.ndarray) -> np.ndarray:
@@ -401,3 +403,36 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """The rows of docs, with their columns, without the near copies that go. The plan is the same at any size: both sides are sorted."""
     gone = near_copies(docs, key, text).select(F.col("doc_id").alias("__aw_gone")).hint("merge")
     return docs.join(gone, docs[key].cast("long") == gone["__aw_gone"], "left_anti")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs, with its columns, of each group of near copies; rows without a word all stay.
+
+    Rows are told apart by id and text: the one of the least id stays, of an id's texts the one of the least hash, a row
+    without an id only where its group has none with one; of rows alike in both the one whose columns have the least hash.
+    """
+    rows = _judged(docs, key, text).select(F.col("doc_id").alias("__aw_id"), F.col("tag").alias("__aw_tag"), "stays", "rows")
+    gone = rows.filter("not stays").drop("stays", "rows").hint("merge")
+    own = docs[key].cast("long").eqNullSafe(F.col("__aw_id")) & (F.xxhash64(text_of(docs, text)) == F.col("__aw_tag"))
+    left = docs.join(gone, own, "left_anti")
+    several = rows.filter("stays and rows > 1").drop("stays", "rows")
+    if not several.limit(1).count():
+        return left
+    alike = docs.join(several, own, "left_semi").select(docs[key].cast("long").alias("id"), F.xxhash64(text_of(docs, text)).alias("tag"), F.struct(*[docs[f"`{n}`"] for n in docs.columns]).alias("row"))
+    by = Window.partitionBy("id", "tag").orderBy(F.xxhash64(F.to_json("row")))
+    first = alike.withColumn("at", F.row_number().over(by)).filter("at = 1").select(*[F.col("row").getField(n).alias(n) for n in docs.columns])
+    return left.join(several.hint("merge"), own, "left_anti").unionByName(first)
+
+
+def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Columns doc_id, tag (the text's hash), rows (how many there are), stays: each id and text that has a near copy or comes again."""
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text_of(docs, text)).alias("tag"), text_of(docs, text).alias("text"))
+    prints = written(source.mapInArrow(lean(_printed), "doc_id long, tag long, fp binary"), "simhash")
+    # Fingerprints are numbered, and their numbers searched in place of ids.
+    numbers = written(prints.select("fp").distinct().select(F.monotonically_increasing_id().alias("doc_id"), "fp"), "simhash-numbers")
+    number = numbers.select(F.col("doc_id").alias("number"), "fp")
+    named = prints.join(number, "fp").join(groups(numbers), F.col("number") == F.col("node"), "left")
+    members = cut(named.groupBy(F.coalesce("root", "number").alias("group"), "doc_id", "tag").agg(F.count("*").alias("rows")))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    least = members.groupBy(F.col("group").alias("of")).agg(F.min(own).alias("least"), F.sum("rows").alias("many")).filter("many > 1")
+    return cut(members.join(least, F.col("group") == F.col("of")).select("doc_id", "tag", "rows", own.eqNullSafe(F.col("least")).alias("stays")))
