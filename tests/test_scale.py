@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from attrweave.operators import linkage as L
 from attrweave.operators import matching as M
 from tests.measures import cost
 
@@ -13,3 +14,12 @@ def test_metablocking_shuffles_no_pairs_of_items(spark):
     spent = cost(spark, lambda: found.extend(M.blocked_pairs(rows, "g", "i", "b", "s", 4).collect()))
     assert len(found) == 300 * 299 and {r.score for r in found} == {6} and 7 not in {r.i2 for r in found}
     assert spent["shuffled"] < 20_000, spent
+
+
+def test_page_candidates_shuffle_no_pairs_of_pages(spark):
+    rows = spark.range(600).select(F.lit("c").alias("category"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("site"), F.col("id").cast("string").alias("url"), F.explode(F.array(F.lit("x"), F.lit("y"))).alias("block"), F.lit(100).alias("score"))
+    alone = rows.limit(0).unionByName(spark.createDataFrame([("c", "b", "601", "x", 100), ("c", "b", "601", "only", 100), ("c", "b", "602", "y", 100), ("c", "b", "602", "y", 100)], rows.schema))
+    found = []
+    spent = cost(spark, lambda: found.extend(L.page_candidates(rows.unionByName(alone), 160).collect()))
+    assert len(found) == 300 * 300 + 300 and {r.score for r in found} == {200} and {r.url2 for r in found if not int(r.url2) % 2} == {"602"}
+    assert spent["shuffled"] < 20_000, spent
