@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrweave.functions import text as T
+from attrweave.operators.shared import cut, width
 
 SA = ["site", "category", "name"]
 PAGE = ["site", "category", "url"]
@@ -114,8 +115,6 @@ def linked(claims: DataFrame, linkage: DataFrame) -> DataFrame:
 def frequent_core(claims: DataFrame, least: int = 3) -> DataFrame:
     """Attributes on `least` pages, pages of `least` attributes, again and again until nothing goes; then sources with
     as many of both."""
-    from attrweave.operators.shared import cut
-
     rows, before = cut(claims), -1
     while True:
         now = rows.count()
@@ -151,13 +150,19 @@ def split_colons(claims: DataFrame, names: list[str], order: int = 3) -> DataFra
 
 def contained_sets(table: DataFrame, key: str, element: str) -> DataFrame:
     """Keys whose set of elements is part of another's; of equal sets all but the greatest key."""
-    rows = table.select(key, element).distinct()
-    size = rows.groupBy(key).agg(F.count("*").alias("n"))
-    a, b = rows.alias("a"), rows.alias("b")
-    common = a.join(b, (F.col(f"a.{element}") == F.col(f"b.{element}")) & (F.col(f"a.{key}") != F.col(f"b.{key}"))).groupBy(F.col(f"a.{key}").alias("x"), F.col(f"b.{key}").alias("y")).agg(F.count("*").alias("both"))
-    sx, sy = size.select(F.col(key).alias("x"), F.col("n").alias("nx")), size.select(F.col(key).alias("y"), F.col("n").alias("ny"))
-    inside = common.join(sx, "x").join(sy, "y").filter("both = nx and (nx < ny or x < y)")
-    return inside.select(F.col("x").alias(key)).distinct()
+    rows = table.select(F.col(key).alias("k"), F.col(element).alias("e")).filter("k is not null").distinct()
+    # Keys of equal sets are one set; a set is looked for among those that have its rarest element, until the first is found. A
+    # null is an element that no other set has.
+    own = cut(rows.groupBy("k").agg(F.array_sort(F.collect_set("e")).alias("set"), F.count("*").alias("n")))
+    often = rows.groupBy("e").agg(F.count("*").alias("often"))
+    sets = cut(own.groupBy("set", "n").agg(F.max("k").alias("last")))
+    each = sets.select("set", "n", F.explode("set").alias("e"))
+    rarest = each.filter(F.size("set") == F.col("n")).join(often, "e").groupBy("set", "n").agg(F.min(F.struct("often", "e"))["e"].alias("e"))
+    parts = width(table.sparkSession)
+    one, two = rarest.repartition(parts, "e"), each.select(F.col("set").alias("whole"), F.col("n").alias("m"), "e").repartition(parts, "e")
+    inside = one.join(two, (one.e == two.e) & (F.col("n") < F.col("m")) & (F.size(F.array_except("set", "whole")) == 0), "left_semi").select("set", "n", F.lit(True).alias("inside"))
+    judged = sets.filter(F.size("set") == F.col("n")).join(inside, ["set", "n"], "left")
+    return own.join(judged, ["set", "n"]).filter("inside or k < last").select(F.col("k").alias(key))
 
 
 def linked_often(linkage: DataFrame, claims: DataFrame, least: int = 2, shortest: int = 1, longest: int = 100) -> DataFrame:
