@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from attrweave.operators import claims as C
 from attrweave.operators import linkage as L
 from attrweave.operators import matching as M
+from attrweave.operators import tables as X
 from tests.measures import cost
 
 
@@ -34,3 +35,12 @@ def test_contained_sets_meet_no_pairs_of_keys(spark):
     # Of equal sets the greatest key stays; a null is in no other set, but makes a set larger.
     assert sorted(found) == [*range(499), 1000, 1002]
     assert spent["shuffled"] < 12_000, spent
+
+
+def test_nodes_apart_are_compared_by_classes_in_several_tasks(spark):
+    nodes = spark.range(600).select(F.col("id").alias("node"), F.lit("n").alias("name"), F.array(F.lit("v"), (F.col("id") % 8).cast("string")).alias("top"))
+    clustered = spark.range(600).select((F.col("id") % 8).alias("cid"), F.col("id").alias("node"))
+    found = X.apart_by_name(clustered, nodes).withColumn("task", F.spark_partition_id()).collect()
+    assert len(found) == 600 * 599 // 2 - 8 * 75 * 74 // 2
+    assert all(r.n1 < r.n2 and (r.n1 - r.n2) % 8 and r.common == ["v"] and r.only1 == [str(r.n1 % 8)] and r.only2 == [str(r.n2 % 8)] for r in found)
+    assert len({r.task for r in found}) > 1  # not all the pairs of a name in one task
