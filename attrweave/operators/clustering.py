@@ -6,20 +6,27 @@ look outside a connected component, so components are found first and each is cl
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrweave.functions import text as T
-from attrweave.operators.shared import components, cut
+from attrweave.operators.shared import components, cut, numbered, width
 
 EDGE = ["n1", "n2", "weight"]
+EDGE_ORDER = ["weight", "n1", "n2"]
 
 
 def greedy(rows: pd.DataFrame, info: dict[str, tuple[frozenset, bool, str]], rule: str) -> list[tuple[str, int]]:
-    """(node, number of the edge that founded its cluster) of one component.
+    """decide() of edges in any order."""
+    ordered = rows.sort_values(["weight", "n1", "n2"], ascending=False)
+    return decide(zip(ordered["n1"], ordered["n2"]), info, rule)
+
+
+def decide(ordered: Iterable[tuple[str, str]], info: dict[str, tuple[frozenset, bool, str]], rule: str) -> list[tuple[str, int]]:
+    """(node, number of the edge that founded its cluster) of one component, of which the heaviest edges come first.
 
     info: of a node the pages it is on, whether it is of a master source, and its source. rule: `same_page` (no two nodes of
     one page, one master at most), `source` (one node of a source at most) or `free`.
@@ -37,8 +44,7 @@ def greedy(rows: pd.DataFrame, info: dict[str, tuple[frozenset, bool, str]], rul
     def compatible(a: tuple[set, int], b: tuple[set, int]) -> bool:
         return rule == "free" or (a[0].isdisjoint(b[0]) and (rule == "source" or a[1] + b[1] <= 1))
 
-    ordered = rows.sort_values(["weight", "n1", "n2"], ascending=False)
-    for k, (x, y) in enumerate(zip(ordered["n1"], ordered["n2"])):
+    for k, (x, y) in enumerate(ordered):
         gx, gy = group_of.get(x), group_of.get(y)
         if gx is not None and gx == gy:
             continue
@@ -75,29 +81,52 @@ def cluster(edges: DataFrame, nodes: DataFrame, rule: str = "same_page") -> Data
     """
     edges = cut(edges)
     roots = components(edges)
+    heaviest = [F.col("weight").desc(), F.col("n1").desc(), F.col("n2").desc()]
     if rule == "free":
-        w = Window.orderBy(F.col("weight").desc(), F.col("n1").desc(), F.col("n2").desc())
         first = edges.join(roots, edges.n1 == roots.node).select("root", *EDGE).groupBy("root").agg(F.max(F.struct("weight", "n1", "n2")).alias("e"))
-        named = first.select("root", "e.*").withColumn("cid", F.row_number().over(w) - 1).select("root", "cid")
+        named = numbered(first.select("root", "e.*"), heaviest, "cid").select("root", "cid")
         return roots.join(named, "root").select(F.col("cid").cast("long").alias("cid"), "node")
-    own = edges.join(roots.withColumnRenamed("node", "n1"), "n1").select("root", *EDGE)
-    facts = roots.withColumnRenamed("root", "of").join(nodes.select("node", "source", "master", "urls"), "node")
-
-    def run(key: tuple, e: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
-        none: tuple[frozenset, bool, str] = (frozenset(), False, "")
-        info = {x: none for x in set(e["n1"]) | set(e["n2"])}
-        for node, source, master, urls in zip(n["node"], n["source"], n["master"], n["urls"]):
-            info[node] = frozenset(urls if urls is not None else ()), bool(master), source
-        found = greedy(e, info, rule)
-        ordered = e.sort_values(["weight", "n1", "n2"], ascending=False)[["weight", "n1", "n2"]].iloc[[k for _, k in found]].reset_index(drop=True)
-        return pd.concat([pd.Series([node for node, _ in found], name="node", dtype=object), ordered], axis=1)
-
-    schema = "node string, weight double, n1 string, n2 string"
-    found = own.groupBy("root").cogroup(facts.groupBy("of")).applyInPandas(run, schema)
-    founders = found.select("weight", "n1", "n2").distinct()
-    # As many rows as clusters: small beside the edges.
-    numbered = founders.withColumn("cid", F.row_number().over(Window.orderBy(F.col("weight").desc(), F.col("n1").desc(), F.col("n2").desc())) - 1)
-    return found.join(numbered, ["weight", "n1", "n2"]).select(F.col("cid").cast("long").alias("cid"), "node")
+    # Components come to their task one after another, of each first the nodes and then the edges, so that many small ones cost no
+    # more than their rows.
+    own = edges.join(roots.withColumnRenamed("node", "n1"), "n1").select("root", F.lit(1).alias("kind"), *EDGE)
+    facts = roots.join(nodes.select("node", "source", "master", "urls"), "node").select("root", F.lit(0).alias("kind"), "node", "source", "master", "urls")
+    rows = facts.unionByName(own, allowMissingColumns=True).repartition(width(edges.sparkSession), "root")
+    order = F.nanvl("weight", F.lit(None).cast("double")).desc_nulls_last()
+    none: tuple[frozenset, bool, str] = (frozenset(), False, "")
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        root, info, held, out = None, {}, [], []
+
+        def done() -> None:
+            if held:
+                for _, x, y in held:
+                    info.setdefault(x, none), info.setdefault(y, none)
+                out.extend((node, *held[k]) for node, k in decide(((x, y) for _, x, y in held), info, rule))
+            info.clear(), held.clear()
+
+        def made() -> pd.DataFrame:
+            table = pd.DataFrame(out, columns=["node", "weight", "n1", "n2"])
+            out.clear()
+            return table
+
+        for batch in batches:
+            for r, kind, node, source, master, urls, weight, n1, n2 in zip(*(batch[c] for c in ("root", "kind", "node", "source", "master", "urls", *EDGE_ORDER))):
+                if r != root:
+                    done()
+                    root = r
+                if kind:
+                    held.append((weight, n1, n2))
+                else:
+                    info[node] = frozenset(urls if urls is not None else ()), bool(master), source
+            if out:
+                yield made()
+        done()
+        if out:
+            yield made()
+
+    found = cut(rows.sortWithinPartitions("root", "kind", order, F.col("n1").desc(), F.col("n2").desc()).mapInPandas(run, "node string, weight double, n1 string, n2 string"))
+    founders = numbered(found.select("weight", "n1", "n2").distinct(), heaviest, "cid")
+    return found.join(founders, ["weight", "n1", "n2"]).select(F.col("cid").cast("long").alias("cid"), "node")
 
 
 def isolated(clustered: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,15 @@ def width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with its place in the order, from 0, counted by ranges of the order and not in one task."""
+    placed = cut(df.repartitionByRange(width(df.sparkSession), *order).withColumn("__p", F.spark_partition_id()))
+    counts = placed.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return placed.withColumn(name, place).join(F.broadcast(before), "__p").withColumn(name, F.col(name) + F.col("__before")).drop("__p", "__before")
+
+
 def alike(items: DataFrame, key: list[str], item: str) -> DataFrame:
     """items with a column r: of the rows that agree in `key` (their class) the least item, which stands for all of them."""
     return items.withColumn("r", F.min(F.struct(F.col(item))).over(Window.partitionBy(*key))[item])

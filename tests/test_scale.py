@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from attrweave.operators import claims as C
+from attrweave.operators import clustering as K
 from attrweave.operators import linkage as L
 from attrweave.operators import matching as M
 from attrweave.operators import tables as X
@@ -44,3 +45,12 @@ def test_nodes_apart_are_compared_by_classes_in_several_tasks(spark):
     assert len(found) == 600 * 599 // 2 - 8 * 75 * 74 // 2
     assert all(r.n1 < r.n2 and (r.n1 - r.n2) % 8 and r.common == ["v"] and r.only1 == [str(r.n1 % 8)] and r.only2 == [str(r.n2 % 8)] for r in found)
     assert len({r.task for r in found}) > 1  # not all the pairs of a name in one task
+
+
+def test_small_components_share_a_task(spark):
+    edges = spark.range(500).select(F.col("id"), F.explode(F.array(F.lit("b"), F.lit("c"))).alias("k")).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("n1"), F.concat("k", F.col("id").cast("string")).alias("n2"), (F.col("id") + F.when(F.col("k") == "b", 0.5).otherwise(0.0)).alias("weight"))
+    nodes = edges.select(F.col("n2").alias("node"), F.lit("s").alias("source"), F.lit(False).alias("master"), F.array(F.lit("p")).alias("urls"))
+    df = K.cluster(edges, nodes, "source")
+    found = {r.node: r.cid for r in df.collect()}
+    assert len(found) == 1_000 and all(found[f"a{k}"] == found[f"b{k}"] == 499 - k and f"c{k}" not in found for k in range(500))
+    assert "FlatMapCoGroups" not in df._jdf.queryExecution().toString()  # a call, with tables of its own, for each component
