@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrweave.functions.numbers import f_measure, pairs_of, significant
+from attrweave.operators.shared import cut, width
 
 
 def metrics(counts: DataFrame, tp: str = "tp", computed: str = "computed", expected: str = "expected", digits: int = 3) -> DataFrame:
@@ -31,15 +32,55 @@ def by_cells(table: DataFrame, node: str, computed: str, expected: str, by: list
     return metrics(tp.crossJoin(part("__c")).crossJoin(part("__e")))
 
 
-def pairs(membership: DataFrame, node: str, group: str, keep: list[str] = ()) -> DataFrame:
-    """Unordered pairs of nodes that share a group, once each; nodes may be in several."""
+def pairs(membership: DataFrame, node: str, group: str, keep: list[str] = (), once: bool = True) -> DataFrame:
+    """Unordered pairs of nodes that share a group, once each (once=False: for each group); nodes may be in several."""
     rows = membership.select(F.col(node).alias("n"), F.col(group).alias("g"), *keep).distinct()
     a, b = rows.select("g", F.col("n").alias("n1"), *[F.col(k).alias(f"{k}1") for k in keep]), rows.select("g", F.col("n").alias("n2"), *[F.col(k).alias(f"{k}2") for k in keep])
-    return a.join(b, "g").filter("n1 < n2").drop("g").distinct()
+    met = a.join(b, "g").filter("n1 < n2").drop("g")
+    return met.distinct() if once else met
+
+
+def pair_counts(computed: DataFrame, expected: DataFrame | None = None, shared: bool = False) -> DataFrame:
+    """One row tp, computed, expected: how many different pairs of nodes share a group of the one clustering, the other or both (node,
+    cid; nodes may be in several groups). shared: only nodes of both count.
+
+    Pairs are counted from the sizes of groups, and those of both from the sizes of cells (a group of each). A pair that shares
+    two groups of a clustering is counted once too often: two of its groups then have two nodes in common. Those are found by
+    the nodes' pairs of groups, where these are fewer than the pairs of nodes, and their pairs alone are listed.
+    """
+    spark, kinds = computed.sparkSession, {dict(x.dtypes)["cid"] for x in (computed, expected) if x is not None}
+    g = F.col("cid").cast("string") if len(kinds) > 1 else F.col("cid")
+    rows = computed.select(F.col("node").alias("n"), g.alias("g"), F.lit(1).alias("side"))
+    if expected is not None:
+        rows = rows.unionByName(expected.select(F.col("node").alias("n"), g.alias("g"), F.lit(2).alias("side")))
+    groups = lambda k: F.array_sort(F.collect_set(F.when(F.col("side") == k, F.col("g"))))
+    held = rows.filter("n is not null").repartition(width(spark, rows), "n").groupBy("n").agg(groups(1).alias("a"), groups(2).alias("b"), F.min("side").alias("x"), F.max("side").alias("y"))
+    held = cut((held.filter("x <> y") if shared else held).drop("x", "y"))
+    sizes = [held.select(F.explode(k).alias("g")).groupBy("g").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0))).first()[0] for k in "ab"]
+    da, db = F.size("a").cast("long"), F.size("b").cast("long")
+    if (held.agg(F.sum(da * da + db * db + da * db)).first()[0] or 0) > 4 * sum(sizes):
+        a, b = (pairs(held.select("n", F.explode(k).alias("g")), "n", "g").withColumn("side", F.lit(s)) for k, s in (("a", 1), ("b", 2)))
+        both = a.unionByName(b).groupBy("n1", "n2").agg(F.min("side").alias("x"), F.max("side").alias("y"))
+        return both.agg(F.count(F.expr("case when x < y then 1 end")).alias("tp"), F.count(F.expr("case when x = 1 then 1 end")).alias("computed"), F.count(F.expr("case when y = 2 then 1 end")).alias("expected"))
+    n = width(spark, rows)
+    cells = held.select("b", F.explode("a").alias("g")).select("g", F.explode("b").alias("h")).repartition(n, "g", "h").groupBy("g", "h").agg(F.count("*").alias("n"))
+    met = cells.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("met"))
+    own = [held.filter(F.size(k) > 1).select("n", k, F.explode(k).alias("g")).select(F.lit(k).alias("k"), "n", "g", F.explode(k).alias("h")).filter("g < h") for k in "ab"]
+    twice = own[0].unionByName(own[1]).repartition(n, "g", "h").withColumn("c", F.count("*").over(Window.partitionBy("k", "g", "h"))).filter("c > 1")
+    twice = cut(twice.drop("c"))
+    often = twice.withColumnRenamed("n", "n1").join(twice.withColumnRenamed("n", "n2"), ["k", "g", "h"]).filter("n1 < n2").select("n1", "n2").distinct()
+    for s in "12":
+        often = often.join(held.withColumnsRenamed({c: c + s for c in "nab"}), f"n{s}")
+    listed = often.select(F.size(F.array_intersect("a1", "a2")).cast("long").alias("a"), F.size(F.array_intersect("b1", "b2")).cast("long").alias("b"))
+    more = {"tp": F.expr("a * b - least(a, 1) * least(b, 1)"), "computed": F.expr("a - least(a, 1)"), "expected": F.expr("b - least(b, 1)")}
+    over = listed.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(c) for c, x in more.items()])
+    return met.crossJoin(over).select((F.col("met") - F.col("tp")).alias("tp"), (F.lit(sizes[0]) - F.col("computed")).alias("computed"), (F.lit(sizes[1]) - F.col("expected")).alias("expected"))
 
 
 def schema_level(computed: DataFrame, expected: DataFrame, weights: DataFrame | None = None, pair_filter: Column | None = None) -> DataFrame:
     """Metrics over attribute pairs; both have node, cid. weights: node, occs, of which a pair weighs the least."""
+    if weights is None and pair_filter is None:
+        return metrics(pair_counts(computed, expected, shared=True))
     shared = computed.select("node").intersect(expected.select("node"))
     a, b = (pairs(x.join(shared, "node", "left_semi"), "node", "cid") for x in (computed, expected))
     if pair_filter is not None:
@@ -117,16 +158,18 @@ def prefixes(computed: DataFrame, expected: DataFrame, order: DataFrame) -> Data
 
 def union_level(first: DataFrame, second: DataFrame, expected: DataFrame) -> DataFrame:
     """Metrics of the pairs of either of two clusterings (node, cid) against the expected ones."""
-    both = pairs(first, "node", "cid").union(pairs(second, "node", "cid")).distinct()
-    want = pairs(expected, "node", "cid")
-    met = both.withColumn("c", F.lit(1)).join(want.withColumn("e", F.lit(1)), ["n1", "n2"], "full_outer")
-    return metrics(met.agg(F.count(F.expr("case when c = 1 and e = 1 then 1 end")).alias("tp"), F.count("c").alias("computed"), F.count("e").alias("expected")))
+    # A group of either is a group of one clustering, in which nodes are in several.
+    either = [x.select("node", F.concat(F.lit(k), F.col("cid").cast("string")).alias("cid")) for k, x in (("1:", first), ("2:", second))]
+    return metrics(pair_counts(either[0].unionByName(either[1]), expected))
 
 
 def pairs_apart(first: DataFrame, second: DataFrame) -> DataFrame:
     """Pairs of one of two clusterings (node, cid) that the other doesn't have: n1, n2, only_in (1 or 2)."""
-    a, b = pairs(first, "node", "cid"), pairs(second, "node", "cid")
-    return a.join(b, ["n1", "n2"], "left_anti").withColumn("only_in", F.lit(1)).unionByName(b.join(a, ["n1", "n2"], "left_anti").withColumn("only_in", F.lit(2)))
+    both = [pairs(x, "node", "cid", once=False).withColumn("side", F.lit(k)) for k, x in ((1, first), (2, second))]
+    # Each pair meets itself by one exchange, in partitions of a number that doesn't fall with their compressed bytes.
+    n = width(first.sparkSession, first.select("node").union(second.select("node")))
+    sides = both[0].unionByName(both[1]).repartition(n, "n1", "n2").groupBy("n1", "n2").agg(F.min("side").alias("only_in"), F.max("side").alias("y"))
+    return sides.filter("only_in = y").drop("y")
 
 
 def partitioned(computed: DataFrame, expected: DataFrame, parts: DataFrame) -> DataFrame:

@@ -57,9 +57,23 @@ def components(edges: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
             return labels
 
 
-def width(spark: SparkSession) -> int:
-    """Partitions for rows that are few but much work: a number of one's own, which Spark doesn't lower by their bytes."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def width(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """Partitions by a number of one's own, which Spark doesn't lower by their bytes: for rows that are few but much work, or large
+    once they are in a table of memory. df: no fewer than one for each 16 MB of the files that it reads."""
+    least = 0
+    if df is not None:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+        least = sum(x for x in sizes if x < 1 << 60) >> 24  # more is said of tables of unknown size
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, min(least, 10_000))
+
+
+def beside(large: DataFrame, small: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """large joined with small, of which a key may meet most of large: each key is spread over as many copies as there are tasks,
+    by the columns `by` of large."""
+    n = width(large.sparkSession)
+    copies = small.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return large.withColumn("__s", F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")).join(copies, [*on, "__s"], how).drop("__s")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from attrweave.operators import claims as C
 from attrweave.operators import clustering as K
+from attrweave.operators import evaluation as E
 from attrweave.operators import linkage as L
 from attrweave.operators import matching as M
 from attrweave.operators import tables as X
@@ -54,3 +55,31 @@ def test_small_components_share_a_task(spark):
     found = {r.node: r.cid for r in df.collect()}
     assert len(found) == 1_000 and all(found[f"a{k}"] == found[f"b{k}"] == 499 - k and f"c{k}" not in found for k in range(500))
     assert "FlatMapCoGroups" not in df._jdf.queryExecution().toString()  # a call, with tables of its own, for each component
+
+
+def test_pairs_are_counted_from_groups(spark):
+    """A group of 600 has 179,700 pairs; two nodes share two groups of the first clustering."""
+    first = spark.range(600).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("cid"))
+    first = first.unionByName(spark.createDataFrame([(1, 7), (2, 7), (2, 7), (3, None), (None, 7), (900, 8), (901, 8)], "node long, cid long"))
+    second = spark.range(602).select(F.col("id").alias("node"), (F.col("id") % 2).alias("cid"))
+    found = []
+    spent = cost(spark, lambda: found.extend(E.schema_level(first, second).collect()))
+    assert tuple(found[0])[:3] == (2 * 300 * 299 // 2, 600 * 599 // 2, 2 * 300 * 299 // 2)
+    assert spent["shuffled"] < 20_000, spent
+
+
+def test_union_of_clusterings_counts_pairs_of_both_once(spark):
+    first = spark.range(400).select(F.col("id").alias("node"), F.lit(1).alias("cid"))
+    second = spark.range(300).select(F.col("id").alias("node"), F.lit("1").alias("cid")).unionByName(spark.createDataFrame([(500, "x"), (501, "x")], "node long, cid string"))
+    small = spark.createDataFrame([(0, 3), (1, 3), (500, 4), (501, 4), (600, 5), (601, 5)], "node long, cid int")
+    assert tuple(E.union_level(first, second, small).first())[:3] == (2, 400 * 399 // 2 + 1, 3)
+    few = [x.filter("node < 3 or node > 390") for x in (first, second)]
+    assert tuple(E.union_level(*few, small).first())[:3] == (2, 12 * 11 // 2 + 1, 3)
+
+
+def test_pairs_apart_come_by_one_exchange_in_several_tasks(spark):
+    first = spark.range(300).select(F.col("id").alias("node"), F.lit(0).alias("cid"))
+    second = spark.range(301).select(F.col("id").alias("node"), (F.col("id") % 300 == 0).cast("string").alias("cid"))
+    found = E.pairs_apart(first, second).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.n1, r.n2, r.only_in) for r in found} == {(0, k, 1) for k in range(1, 300)} | {(0, 300, 2)} and len(found) == 300
+    assert len({r.task for r in found}) > 1
