@@ -15,10 +15,10 @@ SA = ["site", "category", "name"]
 PAGE = ["site", "category", "url"]
 
 
-def from_wide(table: DataFrame, site: Column, category: Column, url: Column, columns: list[str]) -> DataFrame:
-    """Claims of the columns of a table, which are stacked; nulls make no claim."""
+def from_wide(table: DataFrame, site: Column, category: Column, url: Column, columns: list[str], keep: list[str] = ()) -> DataFrame:
+    """Claims of the columns of a table, which are stacked; nulls make no claim. keep: columns that stay beside them."""
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns])
-    rows = table.select(site.cast("string").alias("site"), category.cast("string").alias("category"), url.cast("string").alias("url"), F.inline(pairs))
+    rows = table.select(site.cast("string").alias("site"), category.cast("string").alias("category"), url.cast("string").alias("url"), *keep, F.inline(pairs))
     return rows.filter("value is not null")
 
 

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from attrweave.functions import text as T
 from attrweave.functions.numbers import safe_divide
 from attrweave.operators.claims import SA, head_tail
+from attrweave.operators.shared import cut, width
 
 
 def source_schema(claims: DataFrame) -> DataFrame:
     """Of each source: pages, schema size, median attributes of a page, average use of its attributes, how many attributes
     are on 10, 55, 85 and 95 % of the pages, and the pages of the most used."""
-    pages = claims.groupBy("site", "category", "url").agg(F.countDistinct("name").alias("attrs"))
-    per = pages.groupBy("site", "category").agg(F.count("*").alias("pages"), F.percentile("attrs", 0.5).alias("median_attrs"))
-    used = claims.select(*SA, "url").distinct().groupBy(*SA).agg(F.count("*").alias("n")).join(per, ["site", "category"])
+    # One exchange, by page; pages of the same attributes are counted, and all the rest comes from these counts.
+    rows = claims.select(*SA, "url").repartition(width(claims.sparkSession, claims), "url").distinct()
+    kinds = rows.groupBy("site", "category", "url").agg(F.array_sort(F.collect_list(F.struct("name"))).alias("names")).groupBy("site", "category", "names").agg(F.count("*").alias("n"))
+    kinds = cut(kinds.withColumn("attrs", F.size(F.filter("names", lambda x: x["name"].isNotNull()))))
+    per = kinds.groupBy("site", "category").agg(F.sum("n").alias("pages"), F.percentile("attrs", 0.5, F.col("n")).alias("median_attrs"))
+    used = kinds.select("site", "category", "n", F.inline("names")).groupBy(*SA).agg(F.sum("n").alias("n")).join(per, ["site", "category"])
     share = F.col("n") / F.col("pages")
     out = used.groupBy("site", "category").agg(
         F.first("pages").alias("pages"),
@@ -39,9 +43,19 @@ def source_attributes(claims: DataFrame, k: int = 3) -> DataFrame:
 
 def general(claims: DataFrame, linkage: DataFrame) -> DataFrame:
     """Of each category, and as ALL their sums: sources, pages, attributes, claims, different values, linked pages, entities."""
-    c = claims.groupBy("category").agg(F.countDistinct("site").alias("sources"), F.countDistinct("site", "url").alias("pages"), F.countDistinct("site", "name").alias("attributes"), F.count("*").alias("instances"), F.countDistinct("value").alias("distinct_values"))
-    lk = linkage.groupBy("category").agg(F.countDistinct("site", "url").alias("linked_pages"), F.countDistinct("pid").alias("entities"))
-    rows = c.join(lk, "category", "left").na.fill(0)
+    def different(df: DataFrame, *of: str, name: str) -> DataFrame:
+        """Counted each by itself: together every row would go through the exchange once for each count."""
+        rows = df.select("category", *of).dropna(subset=list(of))
+        if "url" in of:  # hardly any are alike, where popular values are
+            rows = rows.repartition(width(df.sparkSession, df), "category", "url")
+        return rows.distinct().groupBy("category").agg(F.count("*").alias(name))
+
+    attributes = claims.groupBy("category", "site", "name").agg(F.count("*").alias("n"))
+    rows = attributes.groupBy("category").agg(F.countDistinct("site").alias("sources"), F.countDistinct("site", "name").alias("attributes"), F.sum("n").alias("instances"))
+    known = linkage.filter("category is not null")
+    for more in (different(claims, "site", "url", name="pages"), different(claims, "value", name="distinct_values"), different(known, "site", "url", name="linked_pages"), different(known, "pid", name="entities")):
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    rows = rows.groupBy("category").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("sources", "pages", "attributes", "instances", "distinct_values", "linked_pages", "entities")]).filter("instances > 0")
     return rows.unionByName(rows.agg(F.lit("ALL").alias("category"), *[F.sum(x).alias(x) for x in rows.columns if x != "category"]))
 
 
@@ -128,8 +142,9 @@ def potential_linkages(claims: DataFrame, most_pages: int = 100, least: float =
 
 def linkage_stats(linkage: DataFrame) -> DataFrame:
     """Pages, pages of more than one entity, entities, linked page pairs of one entity, entities with two pages of a source."""
-    multi = linkage.groupBy("category", "site", "url").agg(F.countDistinct("pid").alias("p")).groupBy("category").agg(F.count("*").alias("pages"), F.count(F.when(F.col("p") > 1, 1)).alias("multi_pages"))
-    size = linkage.select("category", "pid", "site", "url").distinct().groupBy("category", "pid").agg(F.count("*").alias("n"), F.countDistinct("site").alias("s"))
+    n = width(linkage.sparkSession, linkage)
+    multi = linkage.select("category", "site", "url", "pid").repartition(n, "url").groupBy("category", "site", "url").agg(F.countDistinct("pid").alias("p")).groupBy("category").agg(F.count("*").alias("pages"), F.count(F.when(F.col("p") > 1, 1)).alias("multi_pages"))
+    size = linkage.select("category", "pid", "site", "url").distinct().groupBy("category", "pid", "site").agg(F.count("*").alias("n")).groupBy("category", "pid").agg(F.sum("n").alias("n"), F.count("site").alias("s"))
     per = size.groupBy("category").agg(F.count("*").alias("entities"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs"), F.count(F.when(F.col("n") > F.col("s"), 1)).alias("conflicting"))
     return multi.join(per, "category")
 
@@ -187,6 +202,16 @@ def copy_ratios(copied: DataFrame, claims: DataFrame) -> DataFrame:
     return counted.join(pages, ["category", "site"]).select("category", "site", "other", "copied", F.round(F.col("copied") / F.col("pages"), 6).alias("ratio"))
 
 
+def joined_entities(linkage: DataFrame, by: str = "|") -> DataFrame:
+    """adjacency() with the entities as one text, which is put together of the texts of ranges of them."""
+    n = width(linkage.sparkSession, linkage)
+    rows = linkage.select("site", "category", "pid").distinct()
+    ranges = cut(rows.repartitionByRange(n, "site", "category", "pid").withColumn("p", F.spark_partition_id()))
+    texts = ranges.groupBy("site", "category", "p").agg(F.array_join(F.array_sort(F.collect_list("pid")), by).alias("t"), F.count("pid").alias("n"))
+    some = F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("p", "t"))))
+    return texts.groupBy("site", "category").agg(F.array_join(F.transform(some, lambda x: x["t"]), by).alias("pids"))
+
+
 def adjacency(linkage: DataFrame) -> DataFrame:
     """The entities of each source, sorted."""
     return linkage.groupBy("site", "category").agg(F.array_sort(F.collect_set("pid")).alias("pids"))

@@ -7,7 +7,9 @@ from attrweave.operators import clustering as K
 from attrweave.operators import evaluation as E
 from attrweave.operators import linkage as L
 from attrweave.operators import matching as M
+from attrweave.operators import stats as A
 from attrweave.operators import tables as X
+from attrweave.plans import tables as B
 from tests.measures import cost
 
 
@@ -83,3 +85,35 @@ def test_pairs_apart_come_by_one_exchange_in_several_tasks(spark):
     found = E.pairs_apart(first, second).withColumn("task", F.spark_partition_id()).collect()
     assert {(r.n1, r.n2, r.only_in) for r in found} == {(0, k, 1) for k in range(1, 300)} | {(0, 300, 2)} and len(found) == 300
     assert len({r.task for r in found}) > 1
+
+
+def test_linked_tables_meet_their_entities_without_a_join(spark, sf):
+    rows = B.linked(spark, sf, ("orders", "lineitem"))
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    want = B.claims(spark, sf, ("orders", "lineitem")).join(B.linkage(spark, sf, ("orders", "lineitem")), ["site", "category", "url"])
+    keep = ["pid", "site", "category", "url", "name", "value"]
+    assert rows.select(*keep).exceptAll(want.select(*keep)).count() == 0 == want.select(*keep).exceptAll(rows.select(*keep)).count()
+
+
+def test_linkage_is_gathered_by_entity(spark, sf):
+    plan = A.size_buckets(B.linkage(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("REPARTITION_BY") // 10 <= 2, plan  # by entity, and of the counts
+
+
+def test_entities_of_a_source_are_joined_of_ranges(spark):
+    links = spark.range(2_000).select(F.format_string("p%04d", F.col("id") % 1_000).alias("pid"), F.lit("s").alias("site"), F.lit("c").alias("category"), F.col("id").cast("string").alias("url"))
+    links = links.unionByName(spark.createDataFrame([(None, "t", "c", "u")], "pid string, site string, category string, url string"))
+    found = []
+    spent = cost(spark, lambda: found.extend(A.joined_entities(links).collect()))
+    assert {r.site: r.pids for r in found} == {"s": "|".join(f"p{k:04}" for k in range(1_000)), "t": ""}
+    assert spent["most"] < 1_000, spent
+
+
+def test_counts_of_a_category_expand_no_rows(spark):
+    claims = spark.createDataFrame([("s", "c", "u", "n", "v"), ("s", "c", "u", "m", "v"), ("t", "c", "u", "n", None)], "site string, category string, url string, name string, value string")
+    links = spark.createDataFrame([("p", "s", "c", "u"), ("p", "s", "c", None), ("q", "s", "d", "u")], "pid string, site string, category string, url string")
+    df = A.general(claims, links)
+    assert sorted(map(tuple, df.collect())) == [("ALL", 2, 2, 3, 3, 1, 1, 1), ("c", 2, 2, 3, 3, 1, 1, 1)]
+    stats = A.source_schema(claims)
+    assert sorted(map(tuple, stats.collect()))[0] == ("s", "c", 1, 2, 2.0, 1.0, 2, 2, 2, 2, 1)
+    assert "Expand" not in stats._jdf.queryExecution().optimizedPlan().toString()
