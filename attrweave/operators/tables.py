@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrweave.functions import text as T
-from attrweave.operators.shared import alike, cut, product, width
+from attrweave.operators.shared import alike, beside, cut, product, width
 
 
 def alignment(claims: DataFrame, linkage: DataFrame, nodes: list[tuple[str, str]], missing: str = "NULL") -> DataFrame:
@@ -64,7 +64,8 @@ def both_linkages(category: DataFrame, community: DataFrame) -> DataFrame:
 
 def truth_by_instance(truth: DataFrame, claims: DataFrame) -> DataFrame:
     """A ground truth by schema (site, name, target) as one by instance."""
-    return claims.join(truth, ["site", "name"]).select("site", "url", "name", "target").distinct()
+    rows = beside(claims, truth, ["site", "name"], ["url"]).select("site", "url", "name", "target")
+    return rows.repartition(width(claims.sparkSession, claims), "url").distinct()
 
 
 def model_linkage(titles: DataFrame, **patterns: str) -> DataFrame:
@@ -97,18 +98,25 @@ def ontology(found: DataFrame, truth: DataFrame, most: int = 3) -> DataFrame:
 def link_triples(claims: DataFrame, linkage: DataFrame) -> DataFrame:
     """Different triples (pid, name, value) of linked pages, with how many values the entity has for the name: one is
     inductable, more are ambiguous."""
-    rows = claims.join(linkage, ["site", "category", "url"]).select("pid", "name", F.col("value").cast("string").alias("value")).distinct()
+    return triples(claims.join(linkage, ["site", "category", "url"]))
+
+
+def triples(linked: DataFrame) -> DataFrame:
+    """link_triples() of claims that have their pid."""
+    rows = linked.select("pid", "name", F.col("value").cast("string").alias("value")).repartition(width(linked.sparkSession, linked), "pid", "name").distinct()
     return rows.withColumn("values", F.count("*").over(Window.partitionBy("pid", "name")))
 
 
 def link_prediction(triples: DataFrame, predicted: DataFrame) -> DataFrame:
     """Predictions (pid, name, value) counted as known, inductable (the entity has no value for the name, another page of it
     could) or ambiguous."""
-    known = triples.select("pid", "name", "value", F.lit(1).alias("known"))
-    values = triples.groupBy("pid", "name").agg(F.max("values").alias("values"))
-    rows = predicted.join(known, ["pid", "name", "value"], "left").join(values, ["pid", "name"], "left")
-    kind = F.when(F.col("known") == 1, "known").when(F.col("values").isNull(), "inductable").otherwise("ambiguous")
-    return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    # Both come to the name of an entity by one exchange, and are counted there.
+    rows = predicted.select("pid", "name", F.col("value").cast("string").alias("value"), F.lit(1).alias("guess")).unionByName(triples.select("pid", "name", "value", F.lit(0).alias("guess")))
+    rows = rows.repartition(width(rows.sparkSession, rows), "pid", "name").groupBy("pid", "name", "value").agg(F.sum("guess").alias("guesses"), F.count(F.when(F.col("guess") == 0, 1)).alias("known"))
+    whole = F.col("pid").isNotNull() & F.col("name").isNotNull()
+    seen = rows.withColumn("values", F.when(whole, F.sum("known").over(Window.partitionBy("pid", "name"))).otherwise(0)).filter("guesses > 0")
+    kind = F.when((F.col("known") > 0) & whole & F.col("value").isNotNull(), "known").when(F.col("values") == 0, "inductable").otherwise("ambiguous")
+    return seen.groupBy(kind.alias("kind")).agg(F.sum("guesses").alias("n"))
 
 
 def golden_pairs(domain: DataFrame, sources: list[str], least: float = 0.2) -> DataFrame:

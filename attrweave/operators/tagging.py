@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attrweave.functions import text as T
+from attrweave.operators.shared import beside
 from attrweave.operators.claims import contained_sets, head_tail
 
 
@@ -17,11 +18,12 @@ def dictionary(clustered: DataFrame, claims: DataFrame, shortest: int = 2, longe
 
     clustered: cid, node; claims: node, name, value (folded text); source: the clusters (cid) whose values count, all if none.
     """
-    rows = claims.filter(~T.is_virtual(F.col("name")) & F.length("value").between(shortest, longest)).join(clustered, "node", "left")
+    rows = claims.filter(~T.is_virtual(F.col("name")) & F.length("value").between(shortest, longest))
+    rows = beside(rows.select("node", "value").distinct(), clustered, ["node"], ["value"], "left")
     held = rows.filter("cid is not null").groupBy("cid", "value").agg(F.countDistinct("node").alias("n")).filter(F.col("n") >= least)
     if source is not None:
         held = held.join(source, "cid", "left_semi")
-    whole = rows.agg((F.countDistinct("cid") + F.countDistinct(F.when(F.col("cid").isNull(), F.col("node")))).alias("whole"))
+    whole = rows.select("cid", "node").distinct().agg((F.countDistinct("cid") + F.countDistinct(F.when(F.col("cid").isNull(), F.col("node")))).alias("whole"))
     known = held.groupBy("value").agg(F.array_sort(F.collect_set("cid")).alias("clusters"))
     return known.crossJoin(F.broadcast(whole)).filter(F.size("clusters") / F.col("whole") <= rarity).select("value", "clusters")
 

@@ -164,7 +164,7 @@ _TRIPLES = "SELECT *, count(*) OVER (PARTITION BY pid, name) AS values FROM (SEL
 
 @query(_TRIPLES)
 def link_triples(spark: SparkSession, sf: str) -> DataFrame:
-    return X.link_triples(B.claims(spark, sf), B.linkage(spark, sf))
+    return X.triples(B.linked(spark, sf))
 
 
 @query(f"""
@@ -175,7 +175,7 @@ SELECT CASE WHEN t.pid IS NOT NULL THEN 'known' WHEN v.pid IS NULL THEN 'inducta
 def link_prediction_kinds(spark: SparkSession, sf: str) -> DataFrame:
     o = B.table(spark, sf, "orders")
     guessed = o.select(F.concat(F.lit("trade-"), F.col("o_orderkey").cast("string")).alias("pid"), F.explode(F.array(*map(F.lit, ("o_orderstatus", "o_orderpriority", "o_clerk")))).alias("name"), F.lit("F").alias("value"))
-    return X.link_prediction(X.link_triples(B.claims(spark, sf), B.linkage(spark, sf)), guessed)
+    return X.link_prediction(X.triples(B.linked(spark, sf)), guessed)
 
 
 @query("""
@@ -385,7 +385,7 @@ def copy_ratios(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT site, category, string_agg(DISTINCT pid, '|' ORDER BY pid) AS pids FROM linkage GROUP BY ALL")
 def entities_of_sources(spark: SparkSession, sf: str) -> DataFrame:
-    return A.adjacency(B.linkage(spark, sf)).withColumn("pids", F.array_join("pids", "|"))
+    return A.joined_entities(B.linkage(spark, sf))
 
 
 @query("""

@@ -9,6 +9,7 @@ from attrweave.operators import linkage as L
 from attrweave.operators import matching as M
 from attrweave.operators import stats as A
 from attrweave.operators import tables as X
+from attrweave.operators import tagging as G
 from attrweave.plans import tables as B
 from tests.measures import cost
 
@@ -117,3 +118,31 @@ def test_counts_of_a_category_expand_no_rows(spark):
     stats = A.source_schema(claims)
     assert sorted(map(tuple, stats.collect()))[0] == ("s", "c", 1, 2, 2.0, 1.0, 2, 2, 2, 2, 1)
     assert "Expand" not in stats._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_popular_attribute_is_joined_by_several_tasks(spark):
+    claims = spark.range(1_200).select(F.lit("s").alias("site"), F.lit("c").alias("category"), F.col("id").cast("string").alias("url"), F.lit("n").alias("name"), (F.col("id") % 600).cast("string").alias("value"), F.lit("c//s//n").alias("node"))
+    truth = spark.createDataFrame([("s", "n", "t")], "site string, name string, target string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = []
+        spent = cost(spark, lambda: found.extend(X.truth_by_instance(truth, claims).collect()))
+        assert len(found) == 1_200 and spent["most"] < 1_000, spent
+        clustered = spark.createDataFrame([(1, "c//s//n"), (1, "c//t//n"), (2, "d")], "cid int, node string")
+        more = claims.unionByName(claims.withColumn("node", F.lit("c//t//n"))).unionByName(claims.limit(1).withColumns({"node": F.lit("d"), "value": F.lit("x")}))
+        found.clear()
+        spent = cost(spark, lambda: found.extend(G.dictionary(clustered, more, shortest=1).collect()))
+        assert len(found) == 600 and spent["most"] < 1_000, spent
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was[1])
+
+
+def test_predictions_meet_triples_by_one_exchange(spark):
+    triples = spark.createDataFrame([("p", "n", "x", 2), ("p", "n", "y", 2), ("q", "n", "x", 1)], "pid string, name string, value string, values long")
+    guessed = spark.createDataFrame([("p", "n", "x"), ("p", "n", "z"), ("p", "n", "z"), ("q", "m", "x"), ("p", "n", None), (None, "n", "x")], "pid string, name string, value string")
+    df = X.link_prediction(triples, guessed)
+    assert {r.kind: r.n for r in df.collect()} == {"known": 1, "ambiguous": 3, "inductable": 2}
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
