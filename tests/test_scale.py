@@ -96,6 +96,17 @@ def test_linked_tables_meet_their_entities_without_a_join(spark, sf):
     assert rows.select(*keep).exceptAll(want.select(*keep)).count() == 0 == want.select(*keep).exceptAll(rows.select(*keep)).count()
 
 
+def test_equal_matches_of_an_entity_are_one_row(spark):
+    linked = spark.range(400).select(F.lit("c").alias("category"), F.lit("p").alias("pid"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("site"), F.lit("n").alias("name"), (F.col("id") % 10 > 1).cast("string").alias("value"), F.col("id").cast("string").alias("url"))
+    pairs = M.candidates(linked)
+    assert [tuple(r) for r in pairs.collect()] == [("c", "a", "n", "b", "n", 2)]
+    rows = M.counted_matches(pairs, linked)
+    by = ["value1", "value2"]
+    want = M.value_matches(pairs, linked).groupBy(*by).agg(F.count("*").alias("m"), F.round(F.sum("w"), 9).alias("w"))
+    found = [tuple(r) for r in rows.select(*by, "m", F.round("w", 9)).collect()]
+    assert sorted(found) == sorted(tuple(r) for r in want.collect()) and len(found) == 4
+
+
 def test_linkage_is_gathered_by_entity(spark, sf):
     plan = A.size_buckets(B.linkage(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") + plan.count("REPARTITION_BY") // 10 <= 2, plan  # by entity, and of the counts
